@@ -1,0 +1,169 @@
+"""Near-duplicate groups: an exact similarity join on word shingles, run as a blocked sparse product.
+
+The documents times shingles incidence matrix A is cut into column blocks by a hash of the shingle. If two
+documents have Jaccard likeness t or more over all columns, they have it in at least one block, since the
+likeness is a weighted mean of the blocks' likenesses. In that block the size-derived bound says how many
+columns they must share at least (ceil(t * size)), so with the columns in one fixed order (rarest first) the
+first few shared columns lie in a short prefix of both rows. Non-zero entries of A * A^T are therefore produced
+only for keys made of such leading columns: one column where it is rare, two or three where they are common, the
+number depending on the columns alone so that both rows agree. Pairs then pass the size bound, and their overlap
+counts are accumulated over all columns; pairs under t are discarded. Nothing is sampled or capped: the result is
+the exact one.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.words import WORD, WordHasher, fingerprint, mix, window_hashes
+from ..session import cut, spread
+from .components import connected_components
+
+#: Slots of the table of column counts: its size is fixed, whatever the corpus; it only orders columns.
+SLOT_BITS = 20
+
+
+def _shingles(id_col: str, text_col: str, n: int, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            ids, keys, docs, sizes, grams = [], [], [], [], []
+            for i, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
+                words = WORD.findall((text or "").lower())
+                if i is None or len(words) < max(min_words, n):
+                    continue
+                g = np.unique(window_hashes(hasher(words), n))
+                ids.append(i)
+                keys.append(fingerprint(words))
+                docs.append(int.from_bytes(keys[-1][:8], "little", signed=True))
+                sizes.append(len(g))
+                grams.append(g.view(np.int64))
+            flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(at, flat)], names=["id", "k", "d", "n", "grams"])
+
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        flat = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        total += np.bincount((flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    for lo in range(0, len(at), 100_000):
+        part = at[lo : lo + 100_000]
+        yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["slot", "c"])
+
+
+def _keys(counts, docs: int, threshold: float, block: float, rare: float, deep: int):
+    """Keys of the leading columns of each block, as described at the top of the module."""
+
+    def blocks_of(n: int, size: int) -> int:
+        return max(1, round(threshold ** -size / block)) if n else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        base = math.log(1 / threshold)
+        u = np.uint64
+        for batch in batches:
+            keys: list[int] = []
+            owner: list[int] = []
+            size: list[int] = []
+            flat = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
+            for r, d in enumerate(batch.column("d").to_pylist()):
+                x = flat[ends[r] : ends[r + 1]]
+                n = len(x)
+                seen = table[(x >> u(64 - SLOT_BITS)).astype(np.int64)]
+                # A partner's size lies within threshold..1/threshold of this one's, so its size class is this
+                # class or a neighbour; pairs meet in the lower class of the two, which both rows enter.
+                own = math.floor(math.log(n) / base + 1e-9)
+                for cls in (own, own - 1):
+                    m = blocks_of(n, cls)
+                    part = (((x & u(0xFFFFFFFF)) * u(m)) >> u(32)).astype(np.int64)
+                    order = np.lexsort((x, seen, part))
+                    xs, cs, ps = x[order].tolist(), seen[order].tolist(), part[order]
+                    cuts = np.searchsorted(ps, np.arange(m + 1)).tolist()
+                    salt = cls * 1_000_003
+                    side = int(cls != own)
+                    for j in range(m):
+                        lo, p = cuts[j], cuts[j + 1] - cuts[j]
+                        if not p:
+                            continue
+                        need = math.ceil(threshold * p - 1e-9)
+                        free, last = p - need, min(deep, need)
+                        stack = [(0, 1, 1.0, salt + j)]
+                        while stack:
+                            start, level, expect, key = stack.pop()
+                            for i in range(start, free + level):
+                                e = expect * cs[lo + i] / (docs if level > 1 else 1)
+                                k = ((key ^ xs[lo + i]) * 0x9E3779B97F4A7C15 + (key >> 7)) & 0xFFFFFFFFFFFFFFFF
+                                if e <= rare or level >= last:
+                                    keys.append(k)
+                                    owner.append(d)
+                                    size.append(n if side == 0 else -n)
+                                else:
+                                    stack.append((i + 1, level + 1, e, k))
+            hashed = mix(np.array(keys, dtype=np.uint64)).view(np.int64)
+            for lo in range(0, len(keys), 200_000):
+                yield pa.record_batch([pa.array(hashed[lo : lo + 200_000]), pa.array(owner[lo : lo + 200_000], pa.int64()), pa.array(size[lo : lo + 200_000], pa.int32())], names=["key", "d", "n"])
+
+    return run
+
+
+def similar_groups(
+    rows: DataFrame, id_col: str = "id", text_col: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 20, block: float = 4.0, rare: float = 2.0, deep: int = 3
+) -> DataFrame:
+    """Groups of texts with Jaccard likeness ``threshold`` or more on ``n``-word shingles, closed under links.
+
+    Returns ``(id, class_id, copies_of, links)``: one row per id whose text has ``min_words`` words or more.
+    ``copies_of`` is the least id with the same word sequence, ``class_id`` the least ``copies_of`` of the group,
+    ``links`` the number of other distinct texts linked directly. Exact copies are folded before the product, so
+    a group of copies of any size costs one row. Rows with a null id or text, and repeated rows, add nothing; an
+    id with two texts takes the lesser class. An empty table gives an empty result.
+    ``block``, ``rare`` and ``deep`` set the mean columns of a block, the expected rows of a key under which it is
+    not refined and the most columns of a key; they change cost, not the result.
+    """
+    spark = rows.sparkSession
+    picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    featured = cut(spread(picked).mapInArrow(_shingles("id", "text", n, min_words), "id string, k binary, d long, n int, grams array<bigint>"))
+    member = featured.groupBy("k").agg(F.min("id").alias("rep"))
+    reps = cut(featured.join(member, (featured.k == member.k) & (featured.id == member.rep), "left_semi").dropDuplicates(["id", "k"]).select("id", "d", "n", "grams"))
+    docs = reps.count()
+    slots = reps.select("grams").mapInArrow(_counts, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.float32)
+    counts[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    keys = reps.select("d", "n", "grams").mapInArrow(_keys(shared, max(docs, 1), threshold, block, rare, deep), "key long, d long, n int")
+    left = keys.select("key", F.col("d").alias("da"), F.col("n").alias("na"))
+    right = keys.select("key", F.col("d").alias("db"), F.col("n").alias("nb"))
+    # na, nb < 0: the row stands in the class below its own. A pair meets once per class: own with own, or own with lowered.
+    near = F.least(F.abs("na"), F.abs("nb")) >= F.ceil(F.greatest(F.abs("na"), F.abs("nb")) * F.lit(threshold) - F.lit(1e-9))
+    pairs = left.join(right, "key").where((F.col("da") < F.col("db")) & ((F.col("na") > 0) | (F.col("nb") > 0)) & near).select("da", "db").distinct()
+    a = reps.select(F.col("d").alias("da"), F.col("id").alias("a"), F.col("grams").alias("ga"))
+    b = reps.select(F.col("d").alias("db"), F.col("id").alias("b"), F.col("grams").alias("gb"))
+    common = F.size(F.array_intersect("ga", "gb"))
+    links = cut(pairs.join(a, "da").join(b, "db").withColumn("c", common).where(F.col("c") >= F.lit(threshold) * (F.size("ga") + F.size("gb") - F.col("c")) - F.lit(1e-9)).select("a", "b"))
+    comp = connected_components(links)
+    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    grouped = comp.join(degree, comp.node == degree.rep, "left").select(F.col("node").alias("rep"), "component", "links")
+    ids = featured.select("id", "k").distinct().join(member, "k")
+    return (
+        ids.join(grouped, "rep", "left")
+        .groupBy("id")
+        .agg(F.min(F.coalesce("component", "rep")).alias("class_id"), F.min("rep").alias("copies_of"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
+    )
+
+
+def group_pairs(groups: DataFrame) -> DataFrame:
+    """All pairs ``(chunk_id_a, chunk_id_b)`` of ids of one class, lesser id first."""
+    a = groups.select("class_id", F.col("id").alias("chunk_id_a"))
+    b = groups.select("class_id", F.col("id").alias("chunk_id_b"))
+    return a.join(b, "class_id").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b")

@@ -1,0 +1,80 @@
+"""Cutting oversized texts at natural boundaries, wholly in SQL expressions.
+
+One regular expression with bounded quantifiers eats the text piece by piece: its alternatives are ordered by
+boundary strength (line end, sentence end, blank, any character) and each takes as much as the limit allows.
+Positions are then running sums over the array of bodies, and overlaps are look-backs from those positions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Titles longer than this are shortened to their end before they are repeated.
+TITLE_LIMIT = 200
+
+
+def _longest(parts):
+    return F.array_max(F.transform(parts, lambda x: F.length(x)))
+
+
+def finest_cut(text, limit: int):
+    """The finest boundary that pieces of ``limit`` characters need: line, sentence, word or hard."""
+    line = _longest(F.split(text, "\n"))
+    sentence = _longest(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n"), lambda x: F.trim(x)))
+    word = _longest(F.split(text, r"\s+"))
+    return F.when(line <= limit, "line").when(sentence <= limit, "sentence").when(word <= limit, "word").otherwise("hard")
+
+
+def split_items(rows: DataFrame, id_col: str = "id", text_col: str = "text", title_col: str | None = "section", limit: int = 1400, overlap: int = 150) -> DataFrame:
+    """Pieces of every row whose text has more than ``limit`` characters (code points).
+
+    Returns ``(chunk_id, piece_no, n_pieces, piece, start, body_chars, overlap_chars, cut, finest_cut)``. A piece is
+    the title line (from the second piece on, if the row has a title), the overlap and the body; together they
+    have at most ``limit`` characters. Bodies concatenated in order give the text back, character for character.
+    The overlap repeats up to ``overlap`` characters of the body before, starting at a word where there is one.
+    Null texts and texts within the limit give no row; a null or blank title counts as none; repeated rows (same
+    id and text) are cut once; a null id is kept as null. No shuffle but that of the repeats.
+    """
+    text = F.col("text")
+    title = F.trim(F.coalesce(F.col(title_col), F.lit(""))) if title_col else F.lit("")
+    title = F.when(F.length(title) > TITLE_LIMIT, F.concat(F.lit("…"), F.ltrim(F.substring(title, -(TITLE_LIMIT - 1), TITLE_LIMIT - 1)))).otherwise(title)
+    head = F.when(title == "", F.lit("")).otherwise(F.concat(title, F.lit("\n")))
+    big = (
+        rows.where(F.length(text_col) > limit)
+        .select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"), head.alias("head"))
+        .dropDuplicates(["chunk_id", "text"])
+        .withColumn("room", F.greatest(F.lit(1), F.lit(limit - overlap) - F.length("head")))
+    )
+    pattern = F.format_string("(?s).{1,%1$d}(?:(?<=\n)|\\z)|.{1,%1$d}(?<=[.!?])(?=\\s)|.{1,%1$d}(?=\\s)|.{1,%1$d}", "room")
+    cut = big.withColumn("bodies", F.regexp_extract_all("text", pattern, F.lit(0)))
+    ends = F.aggregate("bodies", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    cut = cut.withColumn("ends", ends).withColumn("finest_cut", finest_cut(text, limit)).withColumn("n_pieces", F.size("bodies"))
+    flat = cut.select("chunk_id", "text", "head", "ends", "finest_cut", "n_pieces", F.posexplode("bodies").alias("at", "body"))
+    start = F.try_element_at("ends", F.col("at") + 1)
+    back = F.least(F.lit(overlap), start - F.when(F.col("at") > 0, F.try_element_at("ends", F.col("at"))).otherwise(start))
+    raw = F.substr("text", start - back + 1, back)
+    before = F.substr("text", start - back, F.lit(1))
+    # Inside a word, skip to the next word's start; a stretch without blanks is repeated as it is.
+    whole = F.regexp_extract(raw, r"(?s)\A\S*\s+(\S.*)\z", 1)
+    lap = F.when((F.col("at") == 0) | (F.trim(raw) == F.trim(F.regexp_replace("head", "\n", " "))), "").when((start == back) | before.rlike(r"\A\s\z") | (whole == ""), raw).otherwise(whole)
+    following = F.substr("text", start + F.length("body") + 1, F.lit(1))
+    kind = (
+        F.when(F.col("at") + 1 == F.col("n_pieces"), "end")
+        .when(F.col("body").endswith("\n"), "line")
+        .when(F.col("body").rlike(r"[.!?]\z") & following.rlike(r"\s"), "sentence")
+        .when(following.rlike(r"\s"), "word")
+        .otherwise("hard")
+    )
+    out = flat.withColumn("lap", lap).withColumn("start", start).withColumn("cut", kind)
+    return out.select(
+        "chunk_id",
+        (F.col("at") + 1).alias("piece_no"),
+        "n_pieces",
+        F.when(F.col("at") == 0, F.col("body")).otherwise(F.concat("head", "lap", "body")).alias("piece"),
+        "start",
+        F.length("body").alias("body_chars"),
+        F.length("lap").alias("overlap_chars"),
+        "cut",
+        "finest_cut",
+    )

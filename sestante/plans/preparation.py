@@ -1,0 +1,49 @@
+"""Queries of the general corpus-preparation operators (splitting, near-duplicates)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.neardup import group_pairs, similar_groups
+from ..operators.splitting import split_items
+from ..session import table
+
+LIMIT, OVERLAP = 1400, 150
+SHINGLE, LIKENESS, LEAST_WORDS = 3, 0.6, 20
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_items(table(spark, d, "chunks"), "id", "text", "section", LIMIT, OVERLAP)
+    return pieces.where("piece_no = 1 AND n_pieces > 1").select("chunk_id", "finest_cut").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(table(spark, d, "chunks"), "id", "text", "section", LIMIT, OVERLAP)
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar_groups(table(spark, d, "chunks"), "id", "text", SHINGLE, LIKENESS, LEAST_WORDS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return group_pairs(_groups(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).select(F.col("id").alias("chunk_id"), "class_id", "copies_of", F.col("links").cast("long").alias("links"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups}
+
+SQL = {
+    "p4_found": """
+        WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE length(text) > 1400),
+        m AS (SELECT id,
+            list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS line,
+            list_max(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: length(trim(x)))) AS sentence,
+            list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) AS word
+          FROM c)
+        SELECT DISTINCT id AS chunk_id, CASE WHEN line <= 1400 THEN 'line' WHEN sentence <= 1400 THEN 'sentence' WHEN word <= 1400 THEN 'word' ELSE 'hard' END AS finest_cut FROM m
+    """,
+}
