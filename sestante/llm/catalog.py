@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .language import language_labels, language_segments
+from .leaks import template_leaks, verbatim_leaks
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -20,5 +21,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_labels(spark, d).where("is_case").select("chunk_id", "lang").distinct()
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return verbatim_leaks(table(spark, d, "documents"), table(spark, d, "heldout")).select("doc_id", "item_id")
+
+
+def p7_words(spark: SparkSession, d: str) -> DataFrame:
+    return verbatim_leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
+
+
+def p7_templates(spark: SparkSession, d: str) -> DataFrame:
+    return template_leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates}
 SQL: dict[str, str] = {}
