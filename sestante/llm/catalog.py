@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .abuse import abuse_rates, abuse_scores
 from .language import language_labels, language_segments
 from .leaks import template_leaks, verbatim_leaks
 
@@ -33,5 +34,17 @@ def p7_templates(spark: SparkSession, d: str) -> DataFrame:
     return template_leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("abusive AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(p8_scores(spark, d))
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
