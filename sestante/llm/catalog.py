@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .abuse import abuse_rates, abuse_scores
-from .language import language_labels, language_segments
+from .defects import reply_defects
+from .language import labelled_sample, language_labels, language_segments
 from .leaks import template_leaks, verbatim_leaks
 
 
@@ -46,5 +47,14 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse_rates(p8_scores(spark, d))
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates}
+def p2_defects(spark: SparkSession, d: str) -> DataFrame:
+    labelled = labelled_sample(table(spark, d, "chunks"), "id", "text", "lang")
+    return reply_defects(table(spark, d, "answers"), table(spark, d, "turns"), labelled)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_defects(spark, d).where("defect IS NOT NULL AND answer_id IS NOT NULL").select("answer_id", "defect")
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p2_defects": p2_defects, "p2_found": p2_found}
 SQL: dict[str, str] = {}

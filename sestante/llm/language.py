@@ -28,11 +28,11 @@ LEAST_WORDS = 6
 
 # Seed sentences, invented here: they name the languages where labels are few or wrong.
 SEEDS = {
-    "it": "Il treno per la città parte ogni mattina alle nove e arriva prima di mezzogiorno. Non so se abbiamo ancora del pane, ma possiamo comprarlo dopo il lavoro. La riunione è stata spostata perché il direttore non può venire. Gli studenti che hanno perso la chiave devono chiederne una nuova. Questa sera mangiamo insieme nella sala grande con tutti gli amici. Chi vuole partecipare scriva il proprio nome sul foglio entro venerdì. Le finestre vanno chiuse quando si esce dalla stanza. Per favore, lasciate pulito il tavolo dopo la cena.",
-    "en": "The train to the city leaves every morning at nine and arrives before noon. I do not know whether we still have bread, but we can buy some after work. The meeting was moved because the director cannot come. Students who have lost their key must ask for a new one. Tonight we eat together in the big hall with all our friends. Anyone who wants to join should write their name on the sheet by Friday. The windows have to be shut when you leave the room. Please keep the table clean after dinner.",
-    "de": "Der Zug in die Stadt fährt jeden Morgen um neun ab und kommt vor dem Mittag an. Ich weiß nicht, ob wir noch Brot haben, aber wir können nach der Arbeit welches kaufen. Die Sitzung wurde verschoben, weil der Leiter nicht kommen kann. Wer seinen Schlüssel verloren hat, muss einen neuen beantragen. Heute Abend essen wir zusammen im großen Saal mit allen Freunden. Wer mitmachen will, schreibt seinen Namen bis Freitag auf das Blatt. Die Fenster sind zu schließen, wenn man das Zimmer verlässt. Bitte den Tisch nach dem Essen sauber halten.",
-    "fr": "Le train pour la ville part chaque matin à neuf heures et arrive avant midi. Je ne sais pas si nous avons encore du pain, mais nous pouvons en acheter après le travail. La réunion a été déplacée parce que le directeur ne peut pas venir. Les étudiants qui ont perdu leur clé doivent en demander une nouvelle. Ce soir nous mangeons ensemble dans la grande salle avec tous les amis. Ceux qui veulent participer écrivent leur nom sur la feuille avant vendredi. Les fenêtres doivent être fermées quand on quitte la chambre. Merci de laisser la table propre après le dîner.",
-    "es": "El tren a la ciudad sale cada mañana a las nueve y llega antes del mediodía. No sé si todavía tenemos pan, pero podemos comprarlo después del trabajo. La reunión se ha cambiado porque el director no puede venir. Los estudiantes que han perdido la llave deben pedir una nueva. Esta noche cenamos juntos en el salón grande con todos los amigos. Quien quiera participar escriba su nombre en la hoja antes del viernes. Las ventanas se cierran cuando se sale de la habitación. Por favor, dejen limpia la mesa después de la cena.",
+    "it": "Il treno per la città parte ogni mattina alle nove e arriva prima di mezzogiorno. Non so se abbiamo ancora del pane, ma possiamo comprarlo dopo il lavoro. La riunione è stata spostata perché il direttore non può venire. Gli studenti che hanno perso la chiave devono chiederne una nuova. Questa sera mangiamo insieme nella sala grande con tutti gli amici. Chi vuole partecipare scriva il proprio nome sul foglio entro venerdì. Le finestre vanno chiuse quando si esce dalla stanza. Per favore, lasciate pulito il tavolo dopo la cena. Dove posso lasciare la valigia? Quando apre il negozio? Come si arriva alla stazione? Quanto costa il biglietto? Chi porta la posta? Si può entrare dopo cena? Posso usare il telefono? C'è un medico? Quali sono i prezzi? A che ora finisce lo spettacolo?",
+    "en": "The train to the city leaves every morning at nine and arrives before noon. I do not know whether we still have bread, but we can buy some after work. The meeting was moved because the director cannot come. Students who have lost their key must ask for a new one. Tonight we eat together in the big hall with all our friends. Anyone who wants to join should write their name on the sheet by Friday. The windows have to be shut when you leave the room. Please keep the table clean after dinner. Where can I put my suitcase? When does the shop open? How do I get to the station? How much is a ticket? Who brings the mail? May we enter after dinner? Can I use the phone? Is there a doctor? What are the prices? What time does the show end? How many people can I bring?",
+    "de": "Der Zug in die Stadt fährt jeden Morgen um neun ab und kommt vor dem Mittag an. Ich weiß nicht, ob wir noch Brot haben, aber wir können nach der Arbeit welches kaufen. Die Sitzung wurde verschoben, weil der Leiter nicht kommen kann. Wer seinen Schlüssel verloren hat, muss einen neuen beantragen. Heute Abend essen wir zusammen im großen Saal mit allen Freunden. Wer mitmachen will, schreibt seinen Namen bis Freitag auf das Blatt. Die Fenster sind zu schließen, wenn man das Zimmer verlässt. Bitte den Tisch nach dem Essen sauber halten. Wo kann ich den Koffer lassen? Wann öffnet der Laden? Wie komme ich zum Bahnhof? Wie viel kostet die Karte? Wer bringt die Post? Darf man nach dem Essen noch hinein? Kann ich das Telefon benutzen? Gibt es einen Arzt? Welche Preise gelten? Wann endet die Vorstellung?",
+    "fr": "Le train pour la ville part chaque matin à neuf heures et arrive avant midi. Je ne sais pas si nous avons encore du pain, mais nous pouvons en acheter après le travail. La réunion a été déplacée parce que le directeur ne peut pas venir. Les étudiants qui ont perdu leur clé doivent en demander une nouvelle. Ce soir nous mangeons ensemble dans la grande salle avec tous les amis. Ceux qui veulent participer écrivent leur nom sur la feuille avant vendredi. Les fenêtres doivent être fermées quand on quitte la chambre. Merci de laisser la table propre après le dîner. Où puis-je laisser ma valise ? Quand ouvre le magasin ? Comment aller à la gare ? Combien coûte le billet ? Qui apporte le courrier ? Peut-on entrer après le dîner ? Puis-je utiliser le téléphone ? Y a-t-il un médecin ? Quels sont les prix ? À quelle heure finit le spectacle ?",
+    "es": "El tren a la ciudad sale cada mañana a las nueve y llega antes del mediodía. No sé si todavía tenemos pan, pero podemos comprarlo después del trabajo. La reunión se ha cambiado porque el director no puede venir. Los estudiantes que han perdido la llave deben pedir una nueva. Esta noche cenamos juntos en el salón grande con todos los amigos. Quien quiera participar escriba su nombre en la hoja antes del viernes. Las ventanas se cierran cuando se sale de la habitación. Por favor, dejen limpia la mesa después de la cena. ¿Dónde puedo dejar la maleta? ¿Cuándo abre la tienda? ¿Cómo se llega a la estación? ¿Cuánto cuesta el billete? ¿Quién trae el correo? ¿Se puede entrar después de cenar? ¿Puedo usar el teléfono? ¿Hay un médico? ¿Cuáles son los precios? ¿A qué hora termina la función?",
 }
 
 # A day's number with its full stop before a month ("10. November") ends no sentence.
@@ -147,9 +147,17 @@ def _sgd(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7, lr: f
     return table, weight, bias
 
 
-def fit_language(labelled: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
-    """Train on ``(text, language)`` rows and the seeds; wrong labels are tolerated if they are the minority."""
+def fit_language(labelled: list[tuple[str, str]], seed: int = 7, certain: list[tuple[str, str]] = ()) -> LanguageModel:
+    """Train on ``(text, language)`` rows and the seeds; wrong labels are tolerated if they are the minority.
+
+    ``certain`` rows are short texts whose language is known; they join the seeds.
+    """
     texts, labels, trusted = [], [], []
+    for text, lang in certain:
+        for form in {text.lower(), text.lower().translate(_ACCENTS)}:
+            texts.append(form)
+            labels.append(LANGS.index(lang))
+            trusted.append(True)
     for k, lang in enumerate(LANGS):
         for s in sentences(SEEDS[lang]):
             for form in {s[2], s[2].translate(_ACCENTS)}:
@@ -210,11 +218,16 @@ def named_language(label):
     return F.when(code.isin(*LANGS), code)
 
 
-def trained(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on the seeds and at most ``sample_rows`` labelled rows, picked by a hash of the id."""
+def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """At most ``sample_rows`` rows whose label names a language, picked by a hash of the id."""
     sample = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), named_language(F.col(label_col)).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
     got = sample.orderBy(F.xxhash64("i"), "i").limit(sample_rows).select(F.substring("t", 1, 1500).alias("t"), "l").collect()
-    return fit_language([(r["t"], r["l"]) for r in got])
+    return [(r["t"], r["l"]) for r in got]
+
+
+def trained(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fit on the seeds and the labelled sample."""
+    return fit_language(labelled_sample(rows, id_col, text_col, label_col, sample_rows))
 
 
 def _segments(model):
