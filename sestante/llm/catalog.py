@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .abuse import abuse_rates, abuse_scores
 from .defects import reply_defects
 from .language import labelled_sample, language_labels, language_segments
 from .leaks import template_leaks, verbatim_leaks
+from .private import private_data
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -56,5 +58,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_defects(spark, d).where("defect IS NOT NULL AND answer_id IS NOT NULL").select("answer_id", "defect")
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p2_defects": p2_defects, "p2_found": p2_found}
+def _private_fields(spark: SparkSession, d: str) -> DataFrame:
+    turns, answers = table(spark, d, "turns"), table(spark, d, "answers")
+    return (
+        turns.select(F.lit("turns.question").alias("field"), F.col("turn_id").alias("row_id"), F.col("question").alias("text"))
+        .unionAll(turns.select(F.lit("turns.answer"), "turn_id", "answer"))
+        .unionAll(answers.select(F.lit("answers.text"), "answer_id", "text"))
+    )
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return private_data(_private_fields(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = private_data(_private_fields(spark, d).where("text IS NOT NULL"), mask=False)
+    return found.select("field", "row_id", F.explode("kinds").alias("kind")).distinct()
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p3_masked": p3_masked, "p3_found": p3_found, "p2_defects": p2_defects, "p2_found": p2_found}
 SQL: dict[str, str] = {}

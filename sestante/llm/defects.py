@@ -90,6 +90,8 @@ APOLOGIES = {
     "fr": "Désolé pour l'attente.|Merci de votre question.",
     "es": "Perdone la espera.|Gracias por la pregunta.",
 }
+#: Words after which a sentence must go on.
+OPEN_ENDS = {"it": "perché|ma se|e anche|entro il|che|oppure|con la", "en": "because|but if|and also|by the|which|or with", "de": "weil|aber wenn|und auch|bis zum|oder mit", "fr": "parce que|mais si|et aussi|avant le|ou avec", "es": "porque|pero si|y también|antes del|o con"}
 ECHOES = {
     "it": "{}|La sua domanda è: «{}»|Ha chiesto: {}|Lei chiede: {}|Domanda: {}|Vuole sapere: {}",
     "en": "{}|Your question is: \"{}\"|You asked: {}|You are asking: {}|Question: {}|You want to know: {}",
@@ -341,6 +343,9 @@ def training_rows(sample: list[tuple[str, str]], model: LanguageModel, seed: int
             if rng.random() < 0.5 and len(a) > 40:
                 at = rng.randrange(20, len(a) - 3)
                 out.append((q, a[:at].rstrip(" .!?…"), rng.random() < 0.05, cited, "unfinished", U))
+            if rng.random() < 0.12:
+                part = a if rng.random() < 0.5 else clauses(a)[0]
+                out.append((q, re.sub(r"[.!?…\s]+$", "", part) + ", " + rng.choice(OPEN_ENDS[lang].split("|")), rng.random() < 0.05, cited, "unfinished", U))
         pick = rng.random()
         if pick < 0.25:
             out.append((q, rng.choice(REFUSALS[lang].split("|")), rng.random() < 0.7, rng.random() < 0.4, "refusal", R))
@@ -390,7 +395,8 @@ def defect_of(parts: list[str], marginals: np.ndarray) -> str | None:
         return "truncated"
     if cover[X] > 0.5:
         return "wrong_language"
-    if cover[R] > 0.5 or (cover[R] > 0 and cover[A] == 0):
+    soft = marginals[: len(parts)].T @ words / words.sum()
+    if cover[R] > 0.5 or (cover[R] > 0 and cover[A] == 0) or (soft[R] > 0.35 and soft[R] > soft[E]):
         return "refusal"
     if cover[E] > 0.5 and cover[A] < 0.34:
         return "copy"
