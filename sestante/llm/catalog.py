@@ -10,6 +10,7 @@ from .abuse import abuse_rates, abuse_scores
 from .defects import reply_defects
 from .language import labelled_sample, language_labels, language_segments
 from .leaks import template_leaks, verbatim_leaks
+from .packing import fill_containers, token_sizes
 from .private import private_data
 
 
@@ -76,5 +77,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("field", "row_id", F.explode("kinds").alias("kind")).distinct()
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p3_masked": p3_masked, "p3_found": p3_found, "p2_defects": p2_defects, "p2_found": p2_found}
+CAPACITY = 4096
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return fill_containers(token_sizes(table(spark, d, "documents")), CAPACITY)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_containers(spark, d).groupBy("doc_id").agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") > CAPACITY).select("doc_id")
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p6_containers": p6_containers, "p6_found": p6_found, "p3_masked": p3_masked, "p3_found": p3_found, "p2_defects": p2_defects, "p2_found": p2_found}
 SQL: dict[str, str] = {}
