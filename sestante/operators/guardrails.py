@@ -100,7 +100,7 @@ def shared_shingles(documents: DataFrame, items: DataFrame, n: int = SHINGLE) ->
     """
     a = spread(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")).mapInArrow(_runs("doc_id", n), "doc_id long, run long")
     b = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_runs("item_id", n), "item_id long, run long").distinct()
-    return a.join(b, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return a.join(b, "run").groupBy("doc_id", "item_id").agg(F.countDistinct("run").alias("shared"))
 
 
 def outcomes(answers: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -447,3 +447,76 @@ def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "answers").select(F.lit("answers").alias("path"), F.col("answer_id").alias("line_no"), F.col("text").alias("line")).distinct()
     t = table(spark, d, "turns").select(F.lit("turns").alias("path"), F.col("turn_id").alias("line_no"), F.col("question").alias("line")).distinct()
     return scanner.findings(a.unionAll(t))
+
+
+# -- projections and reports -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS} SELECT id, row_number() OVER (PARTITION BY source ORDER BY n, id)::INT AS ordinal FROM ch")
+def chunk_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each chunk in its document."""
+    w = Window.partitionBy("source").orderBy("n", "id")
+    return corpus(table(spark, d, "chunks")).select("id", F.row_number().over(w).cast("int").alias("ordinal"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, '[' || id || '] (fonte: ' || coalesce(source, '') || CASE WHEN section IS NULL THEN '' ELSE ', sezione: ' || section END || ')' || chr(10) || text AS entry FROM ch WHERE text IS NOT NULL")
+def context_layout(spark: SparkSession, d: str) -> DataFrame:
+    """How a chunk enters the prompt's context."""
+    section = F.when(F.col("section").isNull(), "").otherwise(F.concat(F.lit(", sezione: "), F.col("section")))
+    entry = F.concat(F.lit("["), F.col("id"), F.lit("] (fonte: "), F.coalesce("source", F.lit("")), section, F.lit(")\n"), F.col("text"))
+    return corpus(table(spark, d, "chunks")).where("text IS NOT NULL").select("id", entry.alias("entry"))
+
+
+@query("SELECT user_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS folder FROM (SELECT DISTINCT user_id, regexp_replace(regexp_replace(coalesce(display_name, ''), '[^\\p{L}\\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM members WHERE user_id IS NOT NULL)")
+def user_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the log folders of users."""
+    return table(spark, d, "members").where("user_id IS NOT NULL").select("user_id", T.slug(F.col("display_name")).alias("folder")).distinct()
+
+
+@query(f"WITH {ANSWERS} SELECT answer_id, CASE WHEN length(text) > 200 THEN (CASE WHEN length(regexp_extract(text[:200], '^((?s:.*)[.!?])\\s', 1)) > 100 THEN regexp_extract(text[:200], '^((?s:.*)[.!?])\\s', 1) ELSE rtrim(text[:200]) END) || ' …' ELSE text END AS short FROM an WHERE text IS NOT NULL")
+def truncated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers cut to 200 characters at a sentence end where there is one in the second half."""
+    return _answers(spark, d).where("text IS NOT NULL").select("answer_id", T.truncate(F.col("text"), 200).alias("short"))
+
+
+@query(f"WITH {ANSWERS}, {CHUNKS}, x AS (SELECT DISTINCT answer_id, text, unnest(citations) AS id FROM an), y AS (SELECT answer_id, any_value(x.text) AS text, string_agg(lower(ch.text), ' ') AS seen FROM x JOIN ch ON x.id = ch.id GROUP BY answer_id), p AS (SELECT answer_id, lower(regexp_extract(coalesce(text, ''), '({guardrails.PROMISE})', 1, 'i')) AS w, seen FROM y) SELECT answer_id FROM p WHERE w <> '' AND NOT contains(seen, w[:6])")
+def promise_check(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that promise something no cited chunk speaks of."""
+    cited = _answers(spark, d).select("answer_id", "text", F.explode(F.array_distinct("citations")).alias("id"))
+    bad = guardrails.unsupported_promise(F.col("a.text"), F.col("c.text"))
+    met = cited.alias("a").join(corpus(table(spark, d, "chunks")).alias("c"), F.col("a.id") == F.col("c.id"))
+    return met.select(F.col("a.answer_id").alias("answer_id"), bad.alias("bad")).groupBy("answer_id").agg(F.bool_and("bad").alias("bad")).where("bad").select("answer_id")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS events, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events per kind and hour."""
+    return table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query(f"WITH {TURNS}, x AS (SELECT *, CASE WHEN lower(trim(question)) = '/reset' THEN 1 ELSE 0 END AS reset FROM tu WHERE user_id IS NOT NULL AND ts IS NOT NULL) SELECT turn_id, coalesce(sum(reset) OVER (PARTITION BY user_id ORDER BY ts, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session FROM x")
+def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Marker sessions by the streaming operator, the whole table as one available-now run."""
+    import uuid
+
+    from ..streaming.chat import tracked
+
+    rows = conversation.turns(table(spark, d, "turns"))
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    out = tracked(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("turn_id", "session")
+
+
+@query()
+def pca_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors on their first two principal axes (signs are arbitrary, so there is no SQL twin)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("v"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(rows).transform(rows)
+    flat = vector_to_array("p")
+    return PCA(k=2, inputCol="c", outputCol="p").fit(centred).transform(centred).select("vec_id", F.round(flat[0], 5).alias("x"), F.round(flat[1], 5).alias("y"))

@@ -1,0 +1,85 @@
+import random
+import re
+
+import pytest
+
+from sestante.operators.components import connected_components
+from sestante.operators.neardup import group_pairs, similar_groups
+
+
+def brute(rows, n, t, least):
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        if i is not None and len(w) >= max(least, n):
+            sets.setdefault(i, []).append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)))
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(len(x & y) >= t * len(x | y) for x in sets[a] for y in sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                parent[hi] = lo
+    return {(a, b) for a in ids for b in ids if a < b and find(a) == find(b)}
+
+
+def corpus(seed, docs=160):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(15, 130))] for _ in range(docs // 4)]
+    rows = []
+    for n in range(docs):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 7)):
+            pick = rng.random()
+            at = rng.randrange(len(w))
+            if pick < 0.4:
+                w[at] = rng.choice(vocabulary)
+            elif pick < 0.7:
+                w = w[at:] + w[:at]
+            else:
+                w[at:at] = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 9))]
+        rows.append((f"c{n:03d}", " ".join(w)))
+    return rows + rows[:3]
+
+
+@pytest.mark.parametrize("n,t", [(3, 0.6), (5, 0.8)])
+def test_equals_brute_force(spark, n, t):
+    rows = corpus(n)
+    got = group_pairs(similar_groups(spark.createDataFrame(rows, "id string, text string"), n=n, threshold=t, min_words=20))
+    assert {tuple(r) for r in got.collect()} == brute(rows, n, t, 20)
+
+
+def test_small_blocks_change_nothing(spark):
+    rows = corpus(9, 100)
+    df = spark.createDataFrame(rows, "id string, text string")
+    for block, rare, deep in ((2.0, 0.5, 2), (12.0, 8.0, 4)):
+        got = group_pairs(similar_groups(df, n=3, threshold=0.6, block=block, rare=rare, deep=deep))
+        assert {tuple(r) for r in got.collect()} == brute(rows, 3, 0.6, 20)
+
+
+def test_nulls_repeats_copies_and_clashing_columns(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [("a", text, 1, "x"), ("a", text, 1, "x"), ("b", text, 2, None), ("c", None, 3, None), (None, text, 4, None), ("d", "", 5, None), ("e", "troppo corto", 6, None), ("f", " ".join(f"u{i}" for i in range(5000)), 7, None)]
+    got = similar_groups(spark.createDataFrame(rows, "id string, text string, k int, grams string"), n=3, threshold=0.6)
+    assert {(r.id, r.class_id, r.copies_of, r.links) for r in got.collect()} == {("a", "a", "a", 0), ("b", "a", "a", 0), ("f", "f", "f", 0)}
+    assert similar_groups(spark.createDataFrame([], "id string, text string")).count() == 0
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [(f"m{n:04d}", " ".join(f"same{i}" for i in range(30))) for n in range(400)] + corpus(4, 120)
+    got = {r.id: r for r in similar_groups(spark.createDataFrame(rows, "id string, text string"), n=3, threshold=0.6).collect()}
+    assert {r.class_id for i, r in got.items() if i.startswith("m")} == {"m0000"}
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("s", f"leaf{i}") for i in range(30)] + [("q", "q"), (None, "z")]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert len(got) == 72 and {got[f"n{i:03d}"] for i in range(41)} == {"n000"} and got["s"] == "leaf0"
+    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0

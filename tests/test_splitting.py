@@ -1,0 +1,92 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sestante.operators.ingest import chunk_text, pack, split_long
+from sestante.operators.splitting import split_items
+
+SCHEMA = "id string, text string, section string, piece string, ends string"
+
+
+def cut_plainly(text, limit, overlap, title):
+    """The same rule, stated without regular expressions."""
+    room = max(1, limit - overlap - (len(title) + 1 if title else 0))
+    bodies, at = [], 0
+    while at < len(text):
+        window = text[at : at + room]
+        rest = text[at + len(window) : at + len(window) + 1]
+        line = len(window) if not rest and at + len(window) == len(text) else window.rfind("\n") + 1
+        blank = lambda i: (window + rest)[i : i + 1].isspace()
+        sentence = next((i for i in range(len(window), 0, -1) if window[i - 1] in ".!?" and blank(i)), 0)
+        word = next((i for i in range(len(window), 0, -1) if blank(i)), 0)
+        n = line or sentence or word or len(window)
+        bodies.append(window[:n])
+        at += n
+    return bodies
+
+
+CASES = [
+    "x" * 950,
+    "parola " * 200,
+    "Una frase breve. " * 80,
+    "\n".join("riga numero %d con testo." % i for i in range(90)),
+    "Titolo\n" + "lunga frase senza fine " * 60 + ". Fine.\n" + "y" * 400,
+    "é" * 300 + " 😀 " * 200,
+]
+
+
+def test_pieces_equal_the_plain_rule(spark):
+    rows = [(str(n), t, s, None, None) for n, t in enumerate(CASES) for s in (None, "Orari > Sala")]
+    rows = [(f"{i}-{s}", t, s, None, None) for i, t, s, _, _ in rows]
+    got = split_items(spark.createDataFrame(rows, SCHEMA), limit=300, overlap=40).collect()
+    for i, text, section, _, _ in rows:
+        mine = sorted((r for r in got if r.chunk_id == i), key=lambda r: r.piece_no)
+        want = cut_plainly(text, 300, 40, section or "")
+        assert [r.body_chars for r in mine] == [len(b) for b in want]
+        assert "".join(r.piece[len(r.piece) - r.body_chars :] for r in mine) == text
+        assert all(len(r.piece) <= 300 for r in mine)
+        for before, r in zip(mine, mine[1:]):
+            head = f"{section}\n" if section else ""
+            lap = r.piece[len(head) : len(r.piece) - r.body_chars]
+            assert r.piece.startswith(head) and before.piece.endswith(lap) and len(lap) <= 40
+
+
+def test_finest_cut(spark):
+    rows = [("line", "a b\n" * 90), ("sentence", "Uno due. " * 40), ("word", "uno " * 90), ("hard", "z" * 301), (None, "w" * 400)]
+    got = split_items(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA), limit=300, overlap=20)
+    assert {(r.chunk_id, r.finest_cut) for r in got.collect()} == {(i, i or "hard") for i, _ in rows}
+
+
+def test_nulls_repeats_short_and_empty(spark):
+    df = spark.createDataFrame([("a", None, None, "p", "e"), ("b", "", " ", "p", "e"), ("c", "k" * 300, None, "p", "e"), ("d", "k" * 301, "", "p", "e"), ("d", "k" * 301, "", "p", "e")], SCHEMA)
+    got = split_items(df, limit=300, overlap=50).collect()
+    assert {r.chunk_id for r in got} == {"d"} and len(got) == 2
+    assert split_items(df.where("false")).count() == 0
+
+
+def test_very_long_text(spark):
+    text = ("abc " * 100 + "\n") * 500
+    got = split_items(spark.createDataFrame([("a", text, None, None, None)], SCHEMA), limit=1400, overlap=150).collect()
+    assert sum(r.body_chars for r in got) == len(text) and {r.n_pieces for r in got} == {len(got)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\n!?;-", max_size=400), st.integers(5, 60))
+def test_long_units_lose_no_character(unit, room):
+    pieces = split_long(unit, room)
+    assert all(len(p) <= room for p in pieces) or len(unit) <= room
+    assert re.sub(r"\s", "", "".join(pieces)) == re.sub(r"\s", "", unit)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", min_size=1, max_size=80), max_size=20), st.integers(10, 100))
+def test_pack_keeps_units_in_order(units, target):
+    assert "\n".join(pack(units, target)) == "\n".join(units)
+    assert all(len(c) <= target or c in units for c in pack(units, target))
+
+
+@pytest.mark.parametrize("text,first", [("# Uno\ntesto\n## Due\naltro", ["Uno", "Uno > Due"]), ("solo testo", [None]), ("", [])])
+def test_sections(text, first):
+    assert [s for s, _ in chunk_text(text)] == first
