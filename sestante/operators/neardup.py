@@ -6,7 +6,8 @@ likeness is a weighted mean of the blocks' likenesses. In that block the size-de
 columns they must share at least (ceil(t * size)), so with the columns in one fixed order (rarest first) the
 first few shared columns lie in a short prefix of both rows. Non-zero entries of A * A^T are therefore produced
 only for keys made of such leading columns: one column where it is rare, two or three where they are common, the
-number depending on the columns alone so that both rows agree. Pairs then pass the size bound, and their overlap
+number depending on the columns alone so that both rows agree. Pairs then pass the size bounds (of the rows, and of the
+block by a 64-bit outline of its columns), and their overlap
 counts are accumulated over all columns; pairs under t are discarded. Nothing is sampled or capped: the result is
 the exact one.
 """
@@ -27,6 +28,8 @@ from .components import connected_components
 
 #: Slots of the table of column counts: its size is fixed, whatever the corpus; it only orders columns.
 SLOT_BITS = 20
+#: Keys of a row, roughly; it only sets the number of partitions.
+KEYS_A_ROW = 350
 
 
 def _shingles(id_col: str, text_col: str, n: int, min_words: int):
@@ -75,6 +78,7 @@ def _keys(counts, docs: int, threshold: float, block: float, rare: float, deep:
         for batch in batches:
             keys: list[int] = []
             owner: list[int] = []
+            outline: list[int] = []
             size: list[int] = []
             flat = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
@@ -97,6 +101,11 @@ def _keys(counts, docs: int, threshold: float, block: float, rare: float, deep:
                         lo, p = cuts[j], cuts[j + 1] - cuts[j]
                         if not p:
                             continue
+                        bits = 0
+                        for g in xs[lo : lo + p]:
+                            bits |= 1 << (g >> 34 & 63)
+                        bits -= (bits >> 63) << 64
+                        held = min(p, 255) + 256 * n
                         need = math.ceil(threshold * p - 1e-9)
                         free, last = p - need, min(deep, need)
                         stack = [(0, 1, 1.0, salt + j)]
@@ -108,18 +117,34 @@ def _keys(counts, docs: int, threshold: float, block: float, rare: float, deep:
                                 if e <= rare or level >= last:
                                     keys.append(k)
                                     owner.append(d)
-                                    size.append(n if side == 0 else -n)
+                                    outline.append(bits)
+                                    size.append(held if side == 0 else -held)
                                 else:
                                     stack.append((i + 1, level + 1, e, k))
             hashed = mix(np.array(keys, dtype=np.uint64)).view(np.int64)
             for lo in range(0, len(keys), 200_000):
-                yield pa.record_batch([pa.array(hashed[lo : lo + 200_000]), pa.array(owner[lo : lo + 200_000], pa.int64()), pa.array(size[lo : lo + 200_000], pa.int32())], names=["key", "d", "n"])
+                part = slice(lo, lo + 200_000)
+                yield pa.record_batch([pa.array(hashed[part]), pa.array(owner[part], pa.int64()), pa.array(outline[part], pa.int64()), pa.array(size[part], pa.int64())], names=["key", "d", "o", "n"])
 
     return run
 
 
+def _may_be_alike(threshold: float):
+    """The size bounds of a pair: of the whole rows, and inside the block, from its outline of one bit per column.
+
+    A bit of one outline that the other lacks stands for at least one column that is not shared, so the outlines
+    bound the overlap of the block from above; below ``t / (1 + t)`` of both sizes the pair is discarded. Negative
+    sizes mark rows that stand in the class below their own.
+    """
+    na, nb = F.floor(F.abs("na") / 256), F.floor(F.abs("nb") / 256)
+    pa_, pb = F.abs("na") % 256, F.abs("nb") % 256
+    shared = F.least(pa_ - F.bit_count(F.expr("oa & ~ob")), pb - F.bit_count(F.expr("ob & ~oa")))
+    whole = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-9)
+    return whole & ((pa_ == 255) | (pb == 255) | (shared * (1 + threshold) >= (pa_ + pb) * F.lit(threshold) - F.lit(1e-9)))
+
+
 def similar_groups(
-    rows: DataFrame, id_col: str = "id", text_col: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 20, block: float = 4.0, rare: float = 2.0, deep: int = 3
+    rows: DataFrame, id_col: str = "id", text_col: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 20, block: float = 12.0, rare: float = 200.0, deep: int = 4
 ) -> DataFrame:
     """Groups of texts with Jaccard likeness ``threshold`` or more on ``n``-word shingles, closed under links.
 
@@ -141,12 +166,13 @@ def similar_groups(
     counts = np.zeros(1 << SLOT_BITS, np.float32)
     counts[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    keys = reps.select("d", "n", "grams").mapInArrow(_keys(shared, max(docs, 1), threshold, block, rare, deep), "key long, d long, n int")
-    left = keys.select("key", F.col("d").alias("da"), F.col("n").alias("na"))
-    right = keys.select("key", F.col("d").alias("db"), F.col("n").alias("nb"))
-    # na, nb < 0: the row stands in the class below its own. A pair meets once per class: own with own, or own with lowered.
-    near = F.least(F.abs("na"), F.abs("nb")) >= F.ceil(F.greatest(F.abs("na"), F.abs("nb")) * F.lit(threshold) - F.lit(1e-9))
-    pairs = left.join(right, "key").where((F.col("da") < F.col("db")) & ((F.col("na") > 0) | (F.col("nb") > 0)) & near).select("da", "db").distinct()
+    keys = reps.select("d", "n", "grams").mapInArrow(_keys(shared, max(docs, 1), threshold, block, rare, deep), "key long, d long, o long, n long")
+    # Partitions of about a million rows, so that both sides are sorted in memory.
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs * KEYS_A_ROW // 1_000_000))
+    keys = keys.repartition(width, "key")
+    left = keys.select("key", F.col("d").alias("da"), F.col("o").alias("oa"), F.col("n").alias("na"))
+    right = keys.select("key", F.col("d").alias("db"), F.col("o").alias("ob"), F.col("n").alias("nb"))
+    pairs = left.join(right, "key").where((F.col("da") < F.col("db")) & ((F.col("na") > 0) | (F.col("nb") > 0)) & _may_be_alike(threshold)).select("da", "db").distinct()
     a = reps.select(F.col("d").alias("da"), F.col("id").alias("a"), F.col("grams").alias("ga"))
     b = reps.select(F.col("d").alias("db"), F.col("id").alias("b"), F.col("grams").alias("gb"))
     common = F.size(F.array_intersect("ga", "gb"))
