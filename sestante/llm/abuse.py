@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import ready, spread
 from .abuse_seeds import GROUPS, NEGATIVE, POSITIVE
 from .language import SEEDS
+from .sampling import sampled
 
 BITS = 17
 #: Words of the longest run that is scored by itself.
@@ -264,7 +265,7 @@ def trained(documents: DataFrame, labels: DataFrame | None, sample_docs: int = S
     if labels is None:
         return _fitted(())
     fine = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("toxic").alias("u")).where("t = 0 AND u = 0")
-    picked = fine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    picked = sampled(fine.select("doc_id"), sample_docs, "doc_id")
     texts = documents.select("doc_id", F.substring("text", 1, 3000).alias("text")).join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("text").distinct()
     return _fitted(tuple(sorted(r["text"] for r in texts.collect())))
 

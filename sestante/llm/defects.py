@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready, spread
+from ..session import cut, ready, spread
 from .language import LANGS, LanguageModel, fit_language
+from .sampling import sampled
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 A, R, E, X, U = range(5)
@@ -449,8 +450,10 @@ def reply_defects(answers: DataFrame, turns: DataFrame, labelled: list[tuple[str
     asked = turns.select("turn_id", "question").distinct()
     joined = answers.select("answer_id", "turn_id", "text", "refused", (F.size(F.coalesce("citations", F.array().cast("array<string>"))) > 0).alias("cited")).join(asked, "turn_id", "left")
     endings = ending_table(answers.select("text").union(turns.select(F.col("question").alias("text"))), ("text",))
-    picked = answers.where("text IS NOT NULL").select("answer_id", "turn_id").orderBy(F.xxhash64("answer_id"), "answer_id").limit(sample_rows)
-    sample = answers.select("answer_id", "text").join(F.broadcast(picked), "answer_id").join(asked, "turn_id").where("question IS NOT NULL").select("answer_id", "question", "text").collect()
+    # The sample's rows are found by their ids; both tables are cut to them before they meet.
+    picked = cut(sampled(answers.where("text IS NOT NULL").select("answer_id", "turn_id"), sample_rows, "answer_id"))
+    sample_turns = turns.where("question IS NOT NULL").select("turn_id", "question").join(F.broadcast(picked.select("turn_id").distinct()), "turn_id", "left_semi").distinct()
+    sample = answers.select("answer_id", "text").join(F.broadcast(picked), "answer_id").join(sample_turns, "turn_id").select("answer_id", "question", "text").collect()
     pairs = [(r["question"], r["text"]) for r in sorted(sample, key=lambda r: (r["answer_id"], r["question"], r["text"]))]
     language = question_language(labelled, pairs)
     field = fit_clauses(pairs, language, endings)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready, spread
+from .sampling import sampled
 
 LANGS = ("it", "en", "de", "fr", "es")
 BITS, DIM, ORDERS = 16, 12, (2, 3, 4)
@@ -221,7 +222,7 @@ def named_language(label):
 def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``sample_rows`` rows whose label names a language, picked by a hash of the id."""
     sample = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), named_language(F.col(label_col)).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    got = sample.orderBy(F.xxhash64("i"), "i").limit(sample_rows).select(F.substring("t", 1, 1500).alias("t"), "l").collect()
+    got = sampled(sample.select("i", F.substring("t", 1, 1500).alias("t"), "l"), sample_rows, "i", "t").collect()
     return [(r["t"], r["l"]) for r in got]
 
 
