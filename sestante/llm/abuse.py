@@ -30,6 +30,8 @@ BITS = 17
 RUN = 12
 #: Labelled documents used at most, whatever the size of the tables.
 SAMPLE_DOCS = 600
+#: Documents taken at most, labelled or not, as ordinary prose.
+PLAIN_DOCS = 300
 #: Runs of words of those documents used at most.
 SAMPLE_RUNS = 5000
 #: Sentences drawn from each seed.
@@ -267,7 +269,9 @@ def trained(documents: DataFrame, labels: DataFrame | None, sample_docs: int = S
     fine = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("toxic").alias("u")).where("t = 0 AND u = 0")
     picked = sampled(fine.select("doc_id"), sample_docs, "doc_id")
     texts = documents.select("doc_id", F.substring("text", 1, 3000).alias("text")).join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("text").distinct()
-    return _fitted(tuple(sorted(r["text"] for r in texts.collect())))
+    # Ordinary prose where labels are few: documents at large, whose abusive runs the second fit leaves out.
+    at_large = sampled(documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 3000).alias("text")), PLAIN_DOCS, "doc_id", "text")
+    return _fitted(tuple(sorted({r["text"] for r in texts.collect()} | {r["text"] for r in at_large.collect()})))
 
 
 def _scored(model):
