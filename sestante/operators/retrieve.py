@@ -113,3 +113,19 @@ def fuse(first: DataFrame, second: DataFrame, weight: float = KEYWORD_WEIGHT, k:
     place = F.when(rescue & (F.col("position") == F.col("best_at")), evidence).when(rescue & (F.col("position") >= evidence) & (F.col("position") < F.col("best_at")), F.col("position") + 1).otherwise(F.col("position"))
     placed = moved.select("qid", "id", place.cast("int").alias("position"))
     return placed.join(fused.select("qid", "score", "position"), ["qid", "position"]).select("qid", "id", "score", "position")
+
+
+def fused_top(vectors: DataFrame, queries: DataFrame, second: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """The first ``evidence`` rows of the fusion of the whole vector ranking with ``second(qid, id, score, position)``.
+
+    Only the first ``evidence`` rows and the best row of ``second`` can stand there, wherever that one lies in the
+    vector ranking. So the ranking is cut one row later, which tells that it is longer, and the best row of ``second``
+    is added behind if it has a vector: its own place beyond the cut changes nothing above.
+    """
+    first = vector_ranking(vectors, queries, evidence + 1).select("qid", F.col("vec_id").alias("id"), "score", "position")
+    best = second.where("score > 0").groupBy("qid").agg(F.min_by("id", "position").alias("id"))
+    held = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("id"))
+    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("qid"))
+    deep = best.join(held, "id", "left_semi").join(asked, "qid", "left_semi").join(first, ["qid", "id"], "left_anti")
+    whole = first.unionByName(deep.select("qid", "id", F.lit(None).cast("double").alias("score"), F.lit(evidence + 2).alias("position")))
+    return fuse(whole, second, evidence=evidence).where(F.col("position") <= evidence)

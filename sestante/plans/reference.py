@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tiers import TIERS, default_tier, tier_rank, tier_table, visible
 from ..operators import conversation, evaluate, guardrails, ingest, scanner
-from ..operators.retrieve import corpus, fuse, keyword_ranking, vector_ranking
+from ..operators.retrieve import corpus, fused_top, keyword_ranking, vector_ranking
 from ..session import table
 
 QUERIES: dict = {}
@@ -264,12 +264,12 @@ FUSED = """kk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY p
 @query(f"WITH {VECTORS}, v50 AS (SELECT * FROM vr WHERE position <= 50), {KEYWORD}, {FUSED} SELECT qid, mo.id, round(fp.score, 6) AS score, mo.position::INT AS position FROM mo JOIN fp USING (qid, position) WHERE mo.position <= 5")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Vector and keyword rankings of the same documents, fused, with the rescue of the best keyword hit."""
-    first = _vectors(spark, d, 50).select("qid", F.col("vec_id").alias("id"), "score", "position")
+    vectors = table(spark, d, "embeddings")
     rows = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     docs = rows.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("source"), F.lit(0).alias("n"), F.lit("public").alias("tier"))
     asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "source").alias("question"), F.lit("public").alias("tier"))
     second = keyword_ranking(docs, asked).select("qid", "id", "score", "position")
-    return fuse(first, second).where("position <= 5").select("qid", "id", F.round("score", 6).alias("score"), "position")
+    return fused_top(vectors, vectors.where("vec_id % 20 = 0"), second).select("qid", "id", F.round("score", 6).alias("score"), "position")
 
 
 @query(f"WITH {VECTORS}, v50 AS (SELECT * FROM vr WHERE position <= 50), {KEYWORD} SELECT qid, id, CASE WHEN k.position < v.position THEN 'better' WHEN k.position > v.position THEN 'worse' ELSE 'same' END AS verdict FROM v50 v JOIN (SELECT qid, id, position FROM kr) k USING (qid, id) WHERE v.position <= 10")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sestante.functions import text as T
 from sestante.functions.tiers import caller_rank, visible
-from sestante.operators.retrieve import corpus, fuse, keyword_ranking, vector_ranking
+from sestante.operators.retrieve import corpus, fuse, fused_top, keyword_ranking, vector_ranking
 
 CHUNKS = [
     ("a.md#1", "La lavanderia apre alle 7:30 e chiude alle 23:00.", "a.md", "public", "it", None),
@@ -117,3 +117,18 @@ def test_vectors(spark):
         got[r.qid].append(r.vec_id)
     for q in range(0, 120, 20):
         assert got[q] == sorted(range(120), key=lambda i: (-round(float(x[q] @ x[i]), 6), i))[:4]
+
+
+def test_rescue_from_any_depth(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(150, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = {q: sorted(range(150), key=lambda i: (-round(float(x[q] @ x[i]), 6), i)) for q in (0, 50, 100)}
+    second = {q: [(near[q][at], 3.0), (near[q][2], 2.0), (near[q][130], 1.0)] for q, at in ((0, 120), (50, 5), (100, 3))}
+    second[100].insert(0, (999, 4.0))  # without a vector: not in the ranking
+    hits = [(q, i, s, n) for q, kept in second.items() for n, (i, s) in enumerate(kept, 1)]
+    got = fused_top(df, df.where("vec_id % 50 = 0"), spark.createDataFrame(hits, "qid long, id long, score double, position int")).collect()
+    for q in near:
+        assert [r.id for r in sorted(got, key=lambda r: r.position) if r.qid == q] == plain_fuse([(i, 0.0) for i in near[q]], second[q])[:5]
