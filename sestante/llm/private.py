@@ -21,14 +21,11 @@ from pyspark.sql import functions as F
 
 from ..session import ready, spread
 from .private_seeds import ENDS, FIRST, FOOTERS, STEMS, STREETS, TITLES, TOWNS, WITH, WITHOUT
-from .sampling import sampled
 
 KINDS = ("none", "email", "phone", "identity", "address", "name")
 K = len(KINDS)
 BITS = 15
 OFFSETS = (-2, -1, 0, 1, 2)
-#: Texts at most whose recurring sentences are learnt as ordinary, whatever the size of the tables.
-SAMPLE_TEXTS = 4000
 #: Placeholders of the masked texts.
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS[1:]}
 
@@ -312,6 +309,8 @@ def _fill(slot: str, rng: random.Random, lang: str) -> tuple[str, int]:
         if rng.random() < 0.4:  # streets are named after anybody and anything
             before = {"it": ["", "", "della ", "del ", "dei ", "di "], "fr": ["", "du ", "de la ", "des "], "es": ["", "del ", "de la ", "de los "]}.get(where, [""])
             name = rng.choice(before) + rng.choice([_surname(rng), _surname(rng) + " " + _surname(rng)] if where != "de" else [_surname(rng)])
+        elif where == "it" and rng.random() < 0.3:  # or told apart by a further word
+            name += rng.choice([" Vecchi", " Nuova", " Alti", " di Sopra", " Grande", " Lunghi"])
         if where == "de":
             s = f"{name}{rng.choice(types)} {number}" if rng.random() < 0.75 else f"Am {rng.choice(['Alten', 'Krummen', 'Neuen'])} {rng.choice(['Teich', 'Markt', 'Graben'])} {number}"
         elif where == "en":
@@ -395,27 +394,11 @@ def _tokens(text: str) -> tuple[list[str], list[int], list[int]]:
     return [m.group() for m in ms], [m.start() for m in ms], [m.end() for m in ms]
 
 
-def common_wordings(texts: list[str], least: int = 4) -> tuple[str, ...]:
-    """Sentences that recur word for word but for short figures, and so hold nothing personal.
-
-    Sentences with long figures, addresses or figures and letters mixed are left out whatever their number.
-    """
-    seen: dict[str, list[str]] = {}
-    for text in texts:
-        for s in re.split(r"(?<=[.!?])\s+|\n+", re.sub(r"\[[^\[\]\n]*#[^\[\]\n]*\]", "", text)):
-            if 3 < len(s) < 200 and not re.search(r"\d{5}|\d[\s.\-]\d{2,}[\s.\-]\d|@|[A-Za-z]\d|\d[A-Za-z/]|\[", s):
-                seen.setdefault(re.sub(r"\d+", "0", s), []).append(s)
-    return tuple(sorted(v[0] for v in seen.values() if len(v) >= least))
-
-
 @functools.lru_cache(maxsize=2)
-def fit_private(ordinary: tuple[str, ...] = (), rounds: int = 100, rate: float = 0.25, shrink: float = 2e-5) -> PrivateField:
-    """Gradient ascent on the likelihood of the seed sentences, expectations by loopy propagation.
-
-    ``ordinary`` sentences are known to hold nothing personal.
-    """
+def fit_private(rounds: int = 100, rate: float = 0.25, shrink: float = 2e-5) -> PrivateField:
+    """Gradient ascent on the likelihood of the seed sentences, expectations by loopy propagation."""
     field = PrivateField()
-    data = seed_texts() + [(form(s), []) for s in ordinary for form in (str, str.lower, str.upper)]
+    data = seed_texts()
     tokens, tags, hits = [], [], []
     base = 0
     for text, spans in data:
@@ -581,7 +564,6 @@ def private_data(rows: DataFrame, mask: bool = True, field: PrivateField | None
     """
     spark = ready(rows.sparkSession)
     if field is None:
-        sample = sampled(rows.where("text IS NOT NULL").select("field", "row_id", F.substring("text", 1, 600).alias("text")), SAMPLE_TEXTS, "field", "row_id", "text")
-        field = fit_private(common_wordings([r["text"] for r in sample.collect()]))
+        field = fit_private()
     shared = spark.sparkContext.broadcast(field)
     return spread(rows.select("field", F.col("row_id").cast("long").alias("row_id"), "text")).mapInArrow(_run(shared, mask), "field string, row_id long, text string, kinds array<string>")

@@ -46,3 +46,10 @@ def test_skip_edges_carry_a_name():
     text = "Sono Ginevra Marolenghi, camera 3. Domani Marolenghi passa a ritirare."
     spans = [s for s in find_spans(fit_private(), [text])[0] if s[2] == "name"]
     assert spans and text[spans[0][0] : spans[0][1]].endswith("Marolenghi")
+
+
+def test_a_recurring_sentence_with_a_name_is_not_ordinary(spark):
+    said = ["Per le chiavi rivolgersi a Carla Bertoni in portineria.", "Scrivetemi: abito in via dei Tigli 12."]
+    rows = [("f", i, said[i % 2]) for i in range(40)]
+    got = private_data(spark.createDataFrame(rows, "field string, row_id long, text string"))
+    assert {(r.row_id % 2, *r.kinds) for r in got.collect()} == {(0, "name"), (1, "address")}
