@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready, spread
-from .private_seeds import ENDS, FIRST, FOOTERS, STEMS, STREETS, TITLES, TOWNS, WITH, WITHOUT
+from .private_seeds import AGAIN, ENDS, FIRST, FOOTERS, PLAIN, STEMS, STREETS, TITLES, TOWNS, WITH, WITHOUT
 
 KINDS = ("none", "email", "phone", "identity", "address", "name")
 K = len(KINDS)
@@ -64,6 +65,12 @@ def _id(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
+def likeness(w: str) -> str:
+    """What repeated and similar words have in common: no case, no accents, no final vowel or ``s``."""
+    low = "".join(c for c in unicodedata.normalize("NFKD", w.casefold()) if not unicodedata.combining(c))
+    return low[:-1] if len(low) > 5 and low[-1] in "aeious" else low
+
+
 def form_features(w: str) -> list[int]:
     """Hashed features of a word form."""
     low = w.lower()
@@ -98,20 +105,20 @@ def form_features(w: str) -> list[int]:
 
 
 class Graph:
-    """Words of a batch as one graph: chain edges inside texts, skip edges between equal rare words of a text.
+    """Words of a batch as one graph: chain edges inside texts, skip edges between rare words of a text of equal ``like``.
 
     All message arrays are kinds times edges, so that sums over kinds run along the outer axis.
     """
 
-    def __init__(self, owner: np.ndarray, forms: np.ndarray, rare: np.ndarray, place: np.ndarray | None = None) -> None:
+    def __init__(self, owner: np.ndarray, like: np.ndarray, rare: np.ndarray, place: np.ndarray | None = None) -> None:
         self.n = len(owner)
         same = owner[:-1] == owner[1:] if self.n else np.zeros(0, bool)
         if place is not None and self.n:
             same &= place[1:] == place[:-1] + 1
         self.chain = np.flatnonzero(same)
         at = np.flatnonzero(rare)
-        order = at[np.lexsort((at, forms[at], owner[at]))] if len(at) else at
-        again = (owner[order[:-1]] == owner[order[1:]]) & (forms[order[:-1]] == forms[order[1:]]) if len(order) > 1 else np.zeros(0, bool)
+        order = at[np.lexsort((at, like[at], owner[at]))] if len(at) else at
+        again = (owner[order[:-1]] == owner[order[1:]]) & (like[order[:-1]] == like[order[1:]]) if len(order) > 1 else np.zeros(0, bool)
         self.skip_a, self.skip_b = order[:-1][again], order[1:][again]
         self.a = np.concatenate([self.chain, self.skip_a])
         self.b = np.concatenate([self.chain + 1, self.skip_b])
@@ -166,7 +173,7 @@ class PrivateField:
         self._reset()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows", "rare", "set", "hint", "wordy", "digits")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows", "rare", "set", "hint", "wordy", "digits", "kin", "like")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -174,23 +181,26 @@ class PrivateField:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.kin: dict[str, int] = {}
         self.rows = np.zeros((1024, len(OFFSETS), K), np.float32)
         self.rare = np.zeros(1024, bool)
         self.set = np.zeros(1024, bool)
         self.hint = np.zeros(1024, bool)
         self.wordy = np.zeros(1024, bool)
         self.digits = np.zeros(1024, np.int32)
+        self.like = np.zeros(1024, np.int64)
 
     def _add(self, w: str) -> int:
         n = self.at[w] = len(self.at)
         if n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rare = np.concatenate([self.rare, np.zeros_like(self.rare)])
-            for name in ("set", "hint", "wordy", "digits"):
+            for name in ("set", "hint", "wordy", "digits", "like"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.rows[n] = self.words[:, form_features(w)].sum(1)
         self.rare[n] = len(w) > 4 and w[0].isalpha()
+        self.like[n] = self.kin.setdefault(likeness(w), len(self.kin))
         self.set[n] = len(w) > 2 and w[0] == "["
         low = w.lower()
         self.digits[n] = 0 if self.set[n] else sum(c.isdigit() for c in w)
@@ -342,7 +352,7 @@ def _fill(slot: str, rng: random.Random, lang: str) -> tuple[str, int]:
 
 def seed_texts(seed: int = 5, draws: int = 9) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """``(text, spans)`` with ``(start, end, kind)`` of each personal slot."""
-    rng = random.Random(seed)
+    rng, later = random.Random(seed), random.Random(-seed)
     out = []
     for source, times in ((WITH, draws), (WITHOUT, draws)):
         for lang, block in source.items():
@@ -381,6 +391,15 @@ def seed_texts(seed: int = 5, draws: int = 9) -> list[tuple[str, list[tuple[int,
                         text += value
                         at = m.end()
                     text += t[at:]
+                    named = [w for lo, hi, k in spans if k == 5 for w in re.findall(r"[^\W\d_]+", text[lo:hi]) if len(w) > 4 and w.lower() not in _FIRST | _TITLE]
+                    if later.random() < (0.4 if named else 0.1):  # a name said before comes again, however far on
+                        start, end = later.choice(AGAIN[lang].split("|")).split("{}")
+                        form = later.choice([str, str, str.capitalize, str.upper, str.lower])
+                        word = form(later.choice(named)) if named else later.choice(PLAIN[lang].split())
+                        text += " " + "".join(o + " " for o in later.choices([x for x in others if not set("{<") & set(x)], k=later.randrange(4))) + start
+                        if named:
+                            spans.append((len(text), len(text) + len(word), 5))
+                        text += word + end
                     if rng.random() < 0.08:
                         text = text.upper()
                     elif rng.random() < 0.06:
@@ -413,7 +432,9 @@ def fit_private(rounds: int = 100, rate: float = 0.25, shrink: float = 2e-5) ->
     feats = [form_features(w) for w in index]
     flat, of = np.concatenate(feats).astype(np.int64), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     rare = np.array([len(w) > 4 and w[0].isalpha() for w in index])[forms]
-    graph = Graph(owner, forms, rare)
+    kin: dict[str, int] = {}
+    like = np.array([kin.setdefault(likeness(w), len(kin)) for w in index])[forms]
+    graph = Graph(owner, like, rare)
     hit = np.array(hits, np.int64).reshape(-1, 2)
     gold = np.eye(K, dtype=np.float32)[np.array(tags)]
     gold_move = np.zeros((K, K))
@@ -509,10 +530,18 @@ def find_spans(field: PrivateField, texts: list[str | None], least: dict[str, fl
     # Beyond a few words from any word that may be personal, messages change nothing: only these stretches are propagated.
     near = emit[:, 1:].max(1) > emit[:, 0] - SLACK
     reach = np.convolve(near, np.ones(2 * REACH + 1), "same")[: len(near)] > 0 if len(near) > 2 * REACH + 1 else np.full(len(near), near.any())
+    # A skip edge carries further: the like words of the same text are taken in with their surroundings, and theirs.
+    rare, pair = field.rare[forms], owner * (len(field.kin) + 1) + field.like[forms]
+    while True:
+        linked = rare & ~reach & np.isin(pair, np.unique(pair[reach & rare]))
+        if not linked.any():
+            break
+        for t in np.flatnonzero(linked).tolist():
+            reach[max(t - REACH, 0) : t + REACH + 1] = True
     kept = np.flatnonzero(reach)
     if not len(kept):
         return out
-    p, _, _ = Graph(owner[kept], forms[kept], field.rare[forms[kept]], kept).beliefs(emit[kept], field.move, field.skip)
+    p, _, _ = Graph(owner[kept], field.like[forms[kept]], field.rare[forms[kept]], kept).beliefs(emit[kept], field.move, field.skip)
     kind_of = 1 + p[:, 1:].argmax(1)
     tag = np.where(1 - p[:, 0] >= np.array([1.1, *(least[k] for k in KINDS[1:])])[kind_of], kind_of, 0)
     previous = -2

@@ -41,6 +41,22 @@ WITHOUT = {
     "it": "E se i vicini fanno rumore?|È successo in via eccezionale <NUM> volte.|Il corso di inglese B2 dura <NUM> ore.|La piazza è chiusa, la strada anche, dopo le <TIME>.|Mia sorella può venire <NUM> notti?|Mia madre può entrare?|Wifi?|Parcheggio?|Suo fratello arriva lunedì.|NON_TROVATO|NON TROVATO|Purtroppo non posso dirlo.|Purtroppo, mi dispiace.|Buongiorno! Come si fa?|DOVE TROVO I GETTONI?|e le prese elettriche sono contate|Visite fino alle <TIME>.|Gli ospiti sono attesi, le stanze sono contate.|la ricevuta è la n. <RCPT>.|prot. <PROT>.|rif. <PROT>.|il codice dell'armadio è <LOCK>.|ho pagato <MONEY> € il <DATE>.|l'incontro è in Aula <SURNAME> alle <TIME>.|la sala <SURNAME> {resta chiusa|apre alle <TIME>}.|l'ho letto su @<WORD>_bot.|sul modulo c'è scritto nome.cognome@example.com come esempio.|è successo in via eccezionale <NUM> volte.|va bene via mail entro <NUM> giorni?|il corso di inglese B2 dura <NUM> ore.|in camera <NUM> manca la luce.|apre dal <NUM> al <NUM> aprile, dalle <TIME> alle <TIME>.|costa <MONEY> euro, pratica <PROT>.|pratica n. <RCPT>.|contattare [NAME], tel. [PHONE].|buongiorno! quando apre la Palestra?|Mi dispiace per l'attesa.|La Caparra viene resa entro <NUM> giorni.|chi arriva dopo le <TIME> ritira la chiave dal custode.|armadietto numero <NUM> in corridoio <NUM>.|Viola è il colore della porta.|l'alba e la luna piena.|Secondo l'ultima delibera, i residenti devono pagare.|i turni cambiano ogni Venerdì.",
     "en": "at the end of {January|February|March|June|October}, at no cost.|from <NUM> {February|May|December} to <NUM> {January|February|August}, with a fee.|{Monday|Tuesday|Sunday} to {Friday|Saturday} between <TIME> and <TIME>.|Wifi?|Parking?|My sister can come.|Final-year students may book before Friday.|Visits are allowed until <TIME> and the guest signs in.|Hello, when is it?|Unfortunately, nobody knows.|Bicycles go in the store.|Instruments are played at <TIME>.|the receipt is no. <RCPT>.|ref. <PROT>.|the locker code is <LOCK>.|i paid <MONEY> euro on <DATE>.|the meeting is in Aula <SURNAME> at <TIME>.|room <SURNAME> is closed.|i read it on @<WORD>_bot.|the form says nome.cognome@example.com as a sample.|is it fine via mail within <NUM> days?|May is a busy month, will room <NUM> be free?|the English course B2 lasts <NUM> hours.|Hi there, how much is it?|it opens from <NUM> to <NUM> April between <TIME> and <TIME>.|write to [EMAIL] or [PHONE].|Sorry for the wait.|Quiet hours begin at <TIME>.|file no. <RCPT>.|locker number <NUM> at the end of corridor <NUM>.|Please reply in Italian.|The Welcome Office opens on Monday.|Could you answer in French?|in the Exam Week, Workshop Coordinators must sign.",
     "de": "Hallo, darf man kochen?|Guten Tag, wann öffnet es?|Leider gilt das nicht.|Besuch ist bis <TIME> Uhr erlaubt.|die Quittung hat die Nr. <RCPT>.|Az. <PROT>.|der Code des Schranks ist <LOCK>.|das Treffen ist um <TIME> Uhr in der Aula <SURNAME>.|ich habe <MONEY> Euro am <DATE> gezahlt.|Im Formular steht nome.cognome@example.com als Muster.|In der Regel müssen die Gäste das Formular am Schalter abgeben.|Wie hoch ist die Kaution für Zimmer <NUM>?|Die Münzwäscherei öffnet am Montag um <TIME> Uhr.|Ab dem <NUM>. Mai dürfen Familien das Schließfach Nummer <NUM> im Büro buchen.|Es tut mir leid für die Wartezeit.|Aus Sicherheitsgründen sollen die Küchenpaten den Putzplan unterschreiben.|geht es per Mail in <NUM> Tagen?|Die Kaution von <MONEY> Euro wird erstattet.|Der Kurs Deutsch B2 dauert <NUM> Stunden.",
-    "fr": "Vous demandez : quand ?|Vous avez demandé cela.|Bonjour, qui nettoie ?|Malheureusement, rien.|Les visites sont permises.|le reçu porte le n° <RCPT>.|réf. <PROT>.|le code du casier est <LOCK>.|la réunion est dans l'Aula <SURNAME> à <TIME>.|j'ai payé <MONEY> euros le <DATE>.|Quel est le montant de la caution pour la chambre <NUM> ?|La salle de musique ouvre le Mardi à <TIME>.|Désolé pour l'attente.|par mail sous <NUM> jours ?|Les Résidents doivent signer le casier numéro <NUM>.|le formulaire montre nome.cognome@example.com comme exemple.|À partir du <NUM> avril, les hôtes peuvent retirer la clé.|Peut-on {entrer|manger|dormir} après <TIME> ?|Où peut-on trouver la laverie ?|Doit-on signer le formulaire ?|{Ma sœur|Ma mère|Mon frère|Mon ami} {peut|doit}-{elle|il} venir <NUM> jours ?|Mon père arrive lundi.",
+    "fr": "Vous demandez : quand ?|Vous avez demandé cela.|Bonjour, qui nettoie ?|Malheureusement, rien.|Les visites sont permises.|le reçu porte le n° <RCPT>.|réf. <PROT>.|le code du casier est <LOCK>.|la réunion est dans l'Aula <SURNAME> à <TIME>.|j'ai payé <MONEY> euros le <DATE>.|Quel est le montant de la caution pour la chambre <NUM> ?|La salle de musique ouvre le Mardi à <TIME>.|Désolé pour l'attente.|par mail sous <NUM> jours ?|Les Résidents doivent signer le casier numéro <NUM>.|le formulaire montre nome.cognome@example.com comme exemple.|À partir du <NUM> avril, les hôtes peuvent retirer la clé.|Peut-on {entrer|manger|dormir} après <TIME> ?|Où peut-on trouver la laverie ?|Doit-on signer le formulaire ?|{Ma sœur|Ma mère|Mon frère|Mon ami} {peut|doit}-{elle|il} venir <NUM> jours ?|Mon père arrive lundi.|Le silence dure jusqu'au lendemain matin.",
     "es": "Hola: ¿quién limpia?|Por desgracia, nada.|Las visitas se admiten.|el recibo es el n.º <RCPT>.|ref. <PROT>.|el código del armario es <LOCK>.|la reunión es en el Aula <SURNAME> a las <TIME>.|pagué <MONEY> euros el <DATE>.|¿De cuánto es la fianza de la habitación <NUM>?|Lo siento por la espera.|Hola: ¿cuándo abre la Biblioteca?|¿vale por mail en <NUM> días?|Los Residentes deben firmar la taquilla número <NUM>.|el formulario dice nome.cognome@example.com como muestra.|A partir del <NUM> de mayo, los huéspedes pueden entrar.",
 }
+
+#: Plain sentences in which a name said before comes again, and ordinary words that stand there too.
+AGAIN = {
+    "it": "Il pacco per {} resta in portineria.|Anche {} paga la caparra.|Domani {} passa a ritirare.|E per {} basta la firma.|Poi la chiave va a {}.|La stanza di {} resta chiusa.",
+    "en": "The parcel for {} stays at the lodge.|Also {} pays the deposit.|Tomorrow {} comes to collect it.|And for {} a signature is enough.|Then the key goes to {}.|The room of {} stays closed.",
+    "de": "Das Paket für {} bleibt an der Pforte.|Auch {} zahlt die Kaution.|Morgen holt {} alles ab.|Für {} genügt die Unterschrift.|Dann geht der Schlüssel an {}.",
+    "fr": "Le colis pour {} reste à la loge.|Aussi {} paie la caution.|Demain {} vient le chercher.|Pour {} la signature suffit.|Puis la clé va à {}.",
+    "es": "El paquete para {} queda en la portería.|También {} paga la fianza.|Mañana {} pasa a recogerlo.|Para {} basta la firma.|Luego la llave va a {}.",
+}
+PLAIN = {
+    "it": "Segreteria Biblioteca Direzione chiunque Erasmus studenti Palestra residenti",
+    "en": "Reception Library everybody Erasmus students Management visitors residents",
+    "de": "Verwaltung Bibliothek jeder Erasmus Studierende Rezeption Gäste",
+    "fr": "Direction Bibliothèque chacun Erasmus étudiants Accueil visiteurs",
+    "es": "Dirección Biblioteca cualquiera Erasmus estudiantes Recepción visitantes",
+}

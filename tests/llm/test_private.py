@@ -53,3 +53,11 @@ def test_a_recurring_sentence_with_a_name_is_not_ordinary(spark):
     rows = [("f", i, said[i % 2]) for i in range(40)]
     got = private_data(spark.createDataFrame(rows, "field string, row_id long, text string"))
     assert {(r.row_id % 2, *r.kinds) for r in got.collect()} == {(0, "name"), (1, "address")}
+
+
+def test_skip_edges_reach_any_distance_and_other_cases():
+    between = "La sala resta aperta fino alle 22:00 e le chiavi si ritirano al piano terra prima di cena, poi il corridoio viene pulito ogni mattina e la porta resta chiusa. "
+    for again in ("Marolenghi", "MAROLENGHI", "marolenghi"):
+        text = f"Sono Ginevra Marolenghi, camera 3. {between}Il pacco per {again} resta in portineria."
+        spans = [text[lo:hi] for lo, hi, kind in find_spans(fit_private(), [text])[0] if kind == "name"]
+        assert spans == ["Ginevra Marolenghi", again]
