@@ -34,11 +34,13 @@ UNITS = frozenset(
 
 _HYPHEN = re.compile(r"(?<=\w)[-‐­][ \t]*\r?\n[\s>*|#]*(?=\w)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|&#?\w{1,8};")
+_GROUP = re.compile(r"(?<=\d)[.,'’ \u00a0\u202f](?=\d{3}(?!\d))")
+_SPLIT = re.compile(r"(?<=\d)[.,:/](?=\d)")
 _MARK = re.compile("[̀-ͯ­​-‏⁠﻿]")
 
 
-def passage_words(text: str | None) -> list[str]:
-    """The words that count, in order."""
+def passage_words(text: str | None, raw: bool = False) -> list[str]:
+    """The words that count, in order; ``raw`` keeps their case and makes one word of a separated figure."""
     if not text:
         return []
     if "\n" in text:
@@ -47,21 +49,43 @@ def passage_words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = _MARK.sub("", unicodedata.normalize("NFKD", text))
+    if raw:
+        return WORD.findall(_SPLIT.sub("x", _GROUP.sub("", text)))
     return WORD.findall(text.casefold())
 
 
-def names_of(texts: list[str]) -> frozenset[str]:
-    """Words written with a capital inside sentences and never without one: the names of the items."""
+def _uses(text: str | None) -> tuple[set[str], set[str]]:
+    """Words written with a capital inside sentences, and words written without one."""
     capital: set[str] = set()
     small: set[str] = set()
-    for text in texts:
-        for m in re.finditer(r"[^\W\d_]+", text or ""):
-            w = m.group()
-            if w[0].islower():
-                small.update(passage_words(w))
-            elif m.start() > 1 and text[m.start() - 2] not in ".!?" and text[m.start() - 1] != "\n":
-                capital.update(passage_words(w))
-    return frozenset(capital - small)
+    for m in re.finditer(r"[^\W\d_]+", text or ""):
+        w = m.group()
+        if w[0].islower():
+            small.update(passage_words(w))
+        elif m.start() > 1 and text[m.start() - 2] not in ".!?" and text[m.start() - 1] != "\n":
+            capital.update(passage_words(w))
+    return capital, small
+
+
+def names_of(texts: list[str]) -> frozenset[str]:
+    """Words written with a capital inside sentences and never without one: the names of the items."""
+    uses = [_uses(text) for text in texts]
+    return frozenset(set().union(*[c for c, _ in uses]) - set().union(*[x for _, x in uses]))
+
+
+def _words_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            capital, small = _uses(text)
+            words = sorted(set(passage_words(text)) | {w.casefold() for w in passage_words(text, True)})
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array([w in capital for w in words], pa.bool_()), pa.array([w in small for w in words], pa.bool_())], names=["word", "capital", "small"])
+
+
+def vocabulary(items: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Names and other words of ``items(text)``, whatever their number: one row a word comes to the driver."""
+    used = items.select("text").mapInArrow(_words_used, "word string, capital boolean, small boolean").groupBy("word").agg(F.bool_or("capital").alias("capital"), F.bool_or("small").alias("small"))
+    rows = used.select("word", F.expr("capital AND NOT small").alias("name")).toArrow().to_pylist()
+    return frozenset(r["word"] for r in rows if r["name"]), frozenset(r["word"] for r in rows if not r["name"])
 
 
 def _h(word: str) -> int:
@@ -69,34 +93,45 @@ def _h(word: str) -> int:
 
 
 class Windows:
-    """Template and exact hashes of all word windows of a batch of texts, with a bounded memo of words."""
+    """Template and exact hashes of all word windows of a batch of texts, with a bounded memo of words.
+
+    With ``plain``, the items' words that are no names, words keep their case and a word with a capital is a name too.
+    Where such a word is in ``plain`` it may be either: windows holding one are given once in each reading.
+    """
 
-    def __init__(self, names: frozenset[str], window: int) -> None:
-        self.names, self.window = names, window
+    def __init__(self, names: frozenset[str], window: int, plain: frozenset[str] | None = None, items: bool = False) -> None:
+        self.names, self.window, self.plain, self.raw = names, window, plain, plain is not None or items
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
         self.exact: list[int] = []
         self.canon: list[int] = []
+        self.other: list[int] = []
 
-    def slot(self, word: str) -> str | None:
+    def slot(self, word: str, other: bool = False) -> str | None:
         if any(c.isdigit() for c in word):
             return "number"
-        return "name" if word in self.names else "unit" if word in UNITS else None
+        low = word.casefold()
+        if low in self.names:
+            return "name"
+        if self.plain is not None and word[0].isupper() and (other or low not in self.plain and low not in UNITS):
+            return "name"
+        return "unit" if low in UNITS else None
 
     def _add(self, word: str) -> int:
         n = self.at[word] = len(self.exact)
-        self.exact.append(_h(word))
-        kind = self.slot(word)
-        self.canon.append(_h("<" + kind + ">") if kind else self.exact[-1])
+        self.exact.append(_h(word.casefold()))
+        for values, other in ((self.canon, False), (self.other, True)):
+            kind = self.slot(word, other)
+            values.append(_h("<" + kind + ">") if kind else self.exact[-1])
         return n
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """``(text number, position, template, exact)`` of each window, and the words of each text."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+        """``(text number, position, template, exact, other reading)`` of each window, and the words of each text."""
         if len(self.exact) > 400_000:
             self._reset()
-        words = [passage_words(t) for t in texts]
+        words = [passage_words(t, self.raw) for t in texts]
         at, add = self.at, self._add
         ids = np.array([at[w] if w in at else add(w) for ws in words for w in ws], np.int64)
         lengths = np.array([len(ws) for ws in words], np.int64)
@@ -105,24 +140,30 @@ class Windows:
         k = len(ids) - self.window + 1
         if k <= 0:
             e = np.zeros(0, np.int64)
-            return e, e, e.view(np.uint64), e.view(np.uint64), words
+            return e, e, e.view(np.uint64), e.view(np.uint64), e.astype(bool), words
         inside = owner[:k] == owner[self.window - 1 :]
         out = []
-        for values in (self.canon, self.exact):
+        for values in (self.canon, self.exact, self.other) if self.plain is not None else (self.canon, self.exact):
             v, power, total = np.array(values, np.uint64)[ids], 1, np.zeros(k, np.uint64)
             for i in range(self.window):
                 total += v[i : i + k] * np.uint64(power)
                 power = power * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
             out.append(mix(total[inside]))
-        return owner[:k][inside], position[:k][inside], out[0], out[1], words
+        who, pos = owner[:k][inside], position[:k][inside]
+        if self.plain is None:
+            return who, pos, out[0], out[1], np.zeros(len(who), bool), words
+        more = np.flatnonzero(out[0] != out[2])
+        join = lambda x, y: np.concatenate([x, y[more]])
+        return join(who, who), join(pos, pos), join(out[0], out[2]), join(out[1], out[1]), np.arange(len(who) + len(more)) >= len(who), words
 
 
 _WINDOW_ROWS = "doc long, pos int, template long, exact long, slots array<string>"
 
 
-def _windows(names, window: int, wanted, with_slots: bool):
+def _windows(names, window: int, wanted, with_slots: bool, items: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(names.value, window)
+        known, plain = names.value
+        windows = Windows(known, window, plain if with_slots and not items else None, with_slots)
         table = flags = None
         if wanted is not None:
             table = wanted.value
@@ -131,13 +172,13 @@ def _windows(names, window: int, wanted, with_slots: bool):
         for batch in batches:
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             for lo in range(0, len(ids), 500):
-                who, pos, template, exact, words = windows(texts[lo : lo + 500])
+                who, pos, template, exact, other, words = windows(texts[lo : lo + 500])
                 if table is not None:
                     hit = np.flatnonzero(flags[(template >> np.uint64(44)).astype(np.int64)])
                     place = np.minimum(np.searchsorted(table, template[hit]), max(len(table) - 1, 0))
                     hit = hit[table[place] == template[hit]] if len(table) else hit[:0]
-                    who, pos, template, exact = who[hit], pos[hit], template[hit], exact[hit]
-                slots = [[w for w in words[a][p : p + window] if windows.slot(w)] for a, p in zip(who.tolist(), pos.tolist())] if with_slots else [None] * len(who)
+                    who, pos, template, exact, other = who[hit], pos[hit], template[hit], exact[hit], other[hit]
+                slots = [[w.casefold() for w in words[a][p : p + window] if windows.slot(w, o)] for a, p, o in zip(who.tolist(), pos.tolist(), other.tolist())] if with_slots else [None] * len(who)
                 yield pa.record_batch(
                     [pa.array([ids[lo + a] for a in who.tolist()], pa.int64()), pa.array(pos.astype(np.int32)), pa.array(template.view(np.int64)), pa.array(exact.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
                     names=["doc", "pos", "template", "exact", "slots"],
@@ -151,15 +192,15 @@ def _both(documents: DataFrame, items: DataFrame, window: int, with_slots: bool)
     held = items.select(F.col("item_id").cast("long").alias("doc"), "text").where("text IS NOT NULL")
     size = held.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     small = size < 2 * FILTER_WINDOWS
-    # The names are those of the items; where the items are too many to list, only numbers and units are slots.
-    names = spark.sparkContext.broadcast(names_of([r["text"] for r in held.collect()]) if small else frozenset())
-    item_windows = held.mapInArrow(_windows(names, window, None, with_slots), _WINDOW_ROWS)
+    # Slots are looked at only for templates; equal words make equal windows without them.
+    names = spark.sparkContext.broadcast(vocabulary(held) if with_slots else (frozenset(), frozenset()))
+    item_windows = held.mapInArrow(_windows(names, window, None, with_slots, True), _WINDOW_ROWS)
     wanted = None
     if small:
         templates = item_windows.select("template").distinct().toArrow().column("template").to_numpy()
         wanted = spark.sparkContext.broadcast(np.sort(templates.view(np.uint64)))
     picked = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text IS NOT NULL")
-    return spread(picked).mapInArrow(_windows(names, window, wanted, with_slots), _WINDOW_ROWS), item_windows
+    return spread(picked).mapInArrow(_windows(names, window, wanted, with_slots, False), _WINDOW_ROWS), item_windows
 
 
 def verbatim_leaks(documents: DataFrame, items: DataFrame, window: int = 12) -> DataFrame:

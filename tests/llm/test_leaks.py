@@ -49,3 +49,11 @@ def test_cases(spark):
     changed = {(r.doc_id, r.item_id) for r in template_leaks(df, items.where("text IS NOT NULL")).collect()}
     assert (3, 9) in changed and (6, 9) not in changed
     assert verbatim_leaks(df.where("false"), items).count() == 0 and verbatim_leaks(df, items.where("false")).count() == 0
+
+
+def test_new_names_and_separated_figures(spark):
+    item = "Dopo la piena del 1402 rimasero 4699 tegole a Molanto e 388 travi a Sabiro, ma la torre rimase vuota."
+    new = item.replace("4699", "8.531").replace("388", "8 729").replace("Molanto", "Lamtapoli").replace("Sabiro", "Torre")
+    docs = [(1, new), (2, new.replace("la torre", "La Torre")), (3, item.replace("Molanto", "casa")), (4, item)]
+    found = template_leaks(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS), spark.createDataFrame([(9, item)], ITEMS))
+    assert {(r.doc_id, r.changed_slots) for r in found.collect() if r.doc_id != 3} == {(1, 4), (2, 4)}
