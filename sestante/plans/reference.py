@@ -346,7 +346,11 @@ def hostile_flags(spark: SparkSession, d: str) -> DataFrame:
     "WHEN len(coalesce(citations, [])) = 0 THEN 'uncited_answer' WHEN coalesce(invented, 0) > 0 THEN 'invented_citation' WHEN length(regexp_replace(coalesce(text, ''), '\\n\\n(__[^\\n]*__)\\s*$', '')) > 1200 THEN 'too_long' ELSE 'none' END AS rule FROM an LEFT JOIN k USING (answer_id)) GROUP BY rule"
 )
 def guardrail_counts(spark: SparkSession, d: str) -> DataFrame:
-    return guardrails.outcomes(_answers(spark, d), corpus(table(spark, d, "chunks"))).groupBy("rule").agg(F.count("*").alias("answers"))
+    """First rule of each answer, by the tier of the member who asked."""
+    turns = table(spark, d, "turns").select("turn_id", "user_id").distinct()
+    tiers = conversation.members(table(spark, d, "members")).select("user_id", tier_rank(default_tier(F.col("tier"))).alias("caller"))
+    callers = table(spark, d, "answers").select("answer_id", "turn_id").distinct().join(turns, "turn_id").join(tiers, "user_id").select("answer_id", "caller")
+    return guardrails.outcomes(_answers(spark, d), corpus(table(spark, d, "chunks")), callers).groupBy("rule").agg(F.count("*").alias("answers"))
 
 
 @query(f"WITH {ANSWERS}, {TURNS}, {USERS} SELECT a.answer_id, CASE WHEN coalesce(u.tier, 'public') <> 'public' THEN '[withheld: ' || u.tier || ']' ELSE a.text END AS answer FROM an a JOIN tu USING (turn_id) LEFT JOIN u USING (user_id)")
@@ -482,10 +486,7 @@ def truncated_answers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ANSWERS}, {CHUNKS}, x AS (SELECT DISTINCT answer_id, text, unnest(citations) AS id FROM an), y AS (SELECT answer_id, any_value(x.text) AS text, string_agg(lower(ch.text), ' ') AS seen FROM x JOIN ch ON x.id = ch.id GROUP BY answer_id), p AS (SELECT answer_id, lower(regexp_extract(coalesce(text, ''), '({guardrails.PROMISE})', 1, 'i')) AS w, seen FROM y) SELECT answer_id FROM p WHERE w <> '' AND NOT contains(seen, w[:6])")
 def promise_check(spark: SparkSession, d: str) -> DataFrame:
     """Answers that promise something no cited chunk speaks of."""
-    cited = _answers(spark, d).select("answer_id", "text", F.explode(F.array_distinct("citations")).alias("id"))
-    bad = guardrails.unsupported_promise(F.col("a.text"), F.col("c.text"))
-    met = cited.alias("a").join(corpus(table(spark, d, "chunks")).alias("c"), F.col("a.id") == F.col("c.id"))
-    return met.select(F.col("a.answer_id").alias("answer_id"), bad.alias("bad")).groupBy("answer_id").agg(F.bool_and("bad").alias("bad")).where("bad").select("answer_id")
+    return guardrails.unsupported_promises(_answers(spark, d), corpus(table(spark, d, "chunks")))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS events, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
