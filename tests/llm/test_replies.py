@@ -15,17 +15,16 @@ QUESTIONS = {
 def fitted():
     model = fit_language(sample(), certain=[(q, k) for k, q in QUESTIONS.items()])
     endings = np.full(1 << D.ENDING_BITS, -1.0, np.float32)
-    pairs = [(QUESTIONS[k], PROSE[k]) for k in QUESTIONS] * 60
-    return D.fit_clauses(pairs, model, endings), model, endings
+    rows = [(QUESTIONS[k], PROSE[k], n % 20 == 0) for k in QUESTIONS for n in range(60)]
+    rows += [(QUESTIONS["it"], "Su tale faccenda le mie note restano mute.", n % 3 > 0) for n in range(20)]
+    return D.fit_clauses(rows, model, endings), model, endings
 
 
 def judge(fitted, question, text):
     field, model, endings = fitted
-    parts, f = D.describe(question, text, False, True, endings)
-    if D.is_empty(D.body_of(text)) or not parts:
-        return "empty"
+    parts, f = D.describe(question, text, True, endings)
     D.language_features(model, [question], [parts], [f])
-    return D.defect_of(parts, field.marginals([f])[0][0])
+    return field.judged([parts], [f])[0][0]
 
 
 def test_defects(fitted):
@@ -35,7 +34,9 @@ def test_defects(fitted):
     assert judge(fitted, q, PROSE["de"]) == "wrong_language"
     assert judge(fitted, q, a[:-20]) == "truncated"
     assert judge(fitted, q, "Ha chiesto: " + q) == "copy"
-    assert judge(fitted, q, "Mi dispiace, non posso rispondere a questa domanda.") == "refusal"
+    assert judge(fitted, q, "Non sono in grado di aiutarla con ciò.") == "refusal"
+    # A wording known only from flagged rows, though a third of its flags are missing.
+    assert judge(fitted, q, "Su tale faccenda le mie note restano mute. [x.md#1]") == "refusal"
     for filler in (None, "", " \n", "​", "N/D", "-", "…", "<br>", "[x.md#1]", "\n\n__Affidabilità 80 % · staff__"):
         assert judge(fitted, q, filler) == "empty"
 
