@@ -10,8 +10,10 @@ from .abuse import abuse_rates, abuse_scores
 from .defects import reply_defects
 from .language import labelled_sample, language_labels, language_segments
 from .leaks import template_leaks, verbatim_leaks
+from .neardup import group_pairs, similar_groups
 from .packing import fill_containers, token_sizes
 from .private import private_data
+from .splitting import split_items
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -88,5 +90,81 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_containers(spark, d).groupBy("doc_id").agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") > CAPACITY).select("doc_id")
 
 
-QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p6_containers": p6_containers, "p6_found": p6_found, "p3_masked": p3_masked, "p3_found": p3_found, "p2_defects": p2_defects, "p2_found": p2_found}
-SQL: dict[str, str] = {}
+LIMIT, OVERLAP = 1400, 150
+SHINGLE, LIKENESS, LEAST_WORDS = 3, 0.6, 20
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(table(spark, d, "chunks"), "id", "text", "section", LIMIT, OVERLAP)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("piece_no = 1").select("chunk_id", "finest_cut").distinct()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar_groups(table(spark, d, "chunks"), "id", "text", SHINGLE, LIKENESS, LEAST_WORDS).withColumnRenamed("id", "chunk_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return group_pairs(p5_groups(spark, d).withColumnRenamed("chunk_id", "id"))
+
+
+QUERIES = {"p1_segments": p1_segments, "p1_labels": p1_labels, "p1_found": p1_found, "p7_found": p7_found, "p7_words": p7_words, "p7_templates": p7_templates, "p8_scores": p8_scores, "p8_found": p8_found, "p8_rates": p8_rates, "p6_containers": p6_containers, "p6_found": p6_found, "p3_masked": p3_masked, "p3_found": p3_found, "p2_defects": p2_defects, "p2_found": p2_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_groups": p5_groups, "p5_found": p5_found}
+
+#: The splitting as a recursive query: each step takes the best boundary of a window, first with room for the overlap.
+_PIECES = """
+    WITH RECURSIVE c AS (SELECT id, text, min(CASE WHEN t = '' THEN '' WHEN length(t) > 200 THEN '…' || ltrim(right(t, 199)) || chr(10) ELSE t || chr(10) END) AS head
+        FROM (SELECT id, text, trim(coalesce(section, '')) AS t FROM chunks WHERE length(text) > 1400) GROUP BY id, text),
+    p AS (
+        SELECT id, text, head, greatest(1, 1250 - length(head))::INT AS room, 0 AS no, 1 AS nxt, 0 AS s, 0 AS n, 0 AS raw FROM c
+        UNION ALL
+        SELECT id, text, head, room, no + 1, s2 + n2, s2, n2, nxt FROM (
+            SELECT *, CASE
+                WHEN length(rest) <= room THEN length(rest) WHEN l1 > 0 THEN least(l1, room)
+                WHEN length(rest) <= 1400 THEN length(rest) WHEN l2 > 0 THEN least(l2, 1400)
+                WHEN s1 > 0 THEN s1 WHEN sb > 0 THEN sb WHEN w1 > 0 THEN w1 WHEN w2 > 0 THEN w2 ELSE room END AS n2
+            FROM (SELECT *,
+                length(regexp_extract(substr(rest, 1, room + 1), '^((?s:.*)\\n)', 1)) AS l1, length(regexp_extract(substr(rest, 1, 1401), '^((?s:.*)\\n)', 1)) AS l2,
+                length(regexp_extract(substr(rest, 1, room + 1), '^((?s:.*)[.!?])\\s', 1)) AS s1, length(regexp_extract(substr(rest, 1, 1401), '^((?s:.*)[.!?])\\s', 1)) AS sb,
+                length(regexp_extract(substr(rest, 1, room + 1), '^((?s:.+))\\s', 1)) AS w1, length(regexp_extract(substr(rest, 1, 1401), '^((?s:.+))\\s', 1)) AS w2
+            FROM (SELECT *, substr(text, s2) AS rest FROM (SELECT *, nxt + length(regexp_extract(substr(text, nxt), '^\\s*')) AS s2 FROM p)))
+        ) WHERE s2 <= length(text)
+    ),
+    k AS (SELECT *, substr(text, s + n, 1) AS f, substr(text, s + n - 1, 1) AS z, lag(raw) OVER (PARTITION BY id, text ORDER BY no) AS before, count(*) OVER (PARTITION BY id, text) AS n_pieces,
+        CASE WHEN no > 1 AND length(head) + n <= 1400 THEN head ELSE '' END AS h FROM p WHERE no > 0),
+    q AS (SELECT *, CASE WHEN f = '' OR f = chr(10) OR z = chr(10) THEN 0 WHEN z IN ('.', '!', '?') AND regexp_matches(f, '\\s') THEN 1 WHEN regexp_matches(f, '\\s') THEN 2 ELSE 3 END AS kind,
+        CASE WHEN no > 1 THEN greatest(0, least(150, s - before, 1400 - length(h) - n)) ELSE 0 END AS back FROM k),
+    r AS (SELECT *, max(kind) OVER (PARTITION BY id, text) AS worst, substr(text, s - back, back) AS taken, CASE WHEN s - back > 1 THEN substr(text, s - back - 1, 1) ELSE '' END AS edge FROM q),
+    u AS (SELECT *, regexp_extract(taken, '(?s)^\\S*\\s+(\\S.*)$', 1) AS whole FROM r),
+    v AS (SELECT *, CASE WHEN no = 1 OR (h <> '' AND trim(taken) = trim(replace(h, chr(10), ' '))) OR regexp_replace(taken, '\\s+', '', 'g') = '' THEN ''
+        WHEN s - 1 = back OR regexp_matches(edge, '^\\s$') OR whole = '' THEN taken ELSE whole END AS lap FROM u)
+"""
+_CUT = "(['line', 'sentence', 'word', 'hard'])[{0} + 1]"
+_GROUPS = """
+    WITH RECURSIVE w AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+    d AS (SELECT ws, min(id) AS rep FROM w WHERE len(ws) >= 20 GROUP BY ws),
+    g AS (SELECT rep, unnest(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS gram FROM d),
+    n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+    o AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.rep < b.rep GROUP BY ALL),
+    l AS (SELECT a, b FROM o JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(a, b) AS (SELECT rep, rep FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    k AS (SELECT a AS rep, min(b) AS class FROM r GROUP BY a),
+    groups AS (SELECT w.id, min(class) AS class_id, min(rep) AS copies_of FROM w JOIN d USING (ws) JOIN k USING (rep) GROUP BY w.id)
+"""
+SQL: dict[str, str] = {
+    "p4_found": """
+        WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE length(text) > 1400),
+        m AS (SELECT id,
+            list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS line,
+            list_max(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: length(trim(x)))) AS sentence,
+            list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) AS word
+          FROM c)
+        SELECT DISTINCT id AS chunk_id, CASE WHEN line <= 1400 THEN 'line' WHEN sentence <= 1400 THEN 'sentence' WHEN word <= 1400 THEN 'word' ELSE 'hard' END AS finest_cut FROM m
+    """,
+    "p4_pieces": _PIECES
+    + f"SELECT id AS chunk_id, no::INT AS piece_no, n_pieces::INT AS n_pieces, h || lap || substr(text, s, n) AS piece, (s - 1)::INT AS start, n::INT AS body_chars, length(lap)::INT AS overlap_chars, CASE WHEN no = n_pieces THEN 'end' ELSE {_CUT.format('kind')} END AS cut, {_CUT.format('worst')} AS finest_cut FROM v",
+    "p5_groups": _GROUPS + "SELECT id AS chunk_id, class_id, copies_of FROM groups",
+    "p5_found": _GROUPS + "SELECT a.id AS chunk_id_a, b.id AS chunk_id_b FROM groups a JOIN groups b USING (class_id) WHERE a.id < b.id",
+}
