@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +14,10 @@ STOPWORDS = (
     "ne nei nel nella non o per piu puo se si sia sono su sul sulla ti tra tu un una uno vi "
     "an and are at be by can do does for from how i in is it of on or the to what when where which who will with you your"
 ).split()
-#: Accented Latin letters and the plain letters they stand for.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters of the Latin blocks that decompose to one plain letter, and that letter: made by rule, not listed.
+_PAIRS = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(d := [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]) == 1 and d[0] != c]
+ACCENTED = "".join(c for c, _ in _PAIRS)
+PLAIN = "".join(d for _, d in _PAIRS)
 #: Fixed value: a number with its separators is one token, else a run of word characters.
 TOKEN = r"\d+(?:[.,:/]\d+)*|[\p{L}\p{N}_]+"
 WORD = r"[\p{L}\p{N}_]+"
@@ -24,7 +28,7 @@ FOOTER = r"(?s)\n\n(__[^\n]*__)\s*\z"
 
 def tokens(text: Column) -> Column:
     """Search tokens: lower case, accents and stopwords dropped, longer words without their last vowel."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}", ""), ACCENTED, PLAIN)
     words = F.filter(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
     trimmed = lambda w: F.when((F.length(w) > 4) & w.rlike("[aeio]$") & ~w.rlike("^[0-9]"), F.substring(w, 1, F.length(w) - 1)).otherwise(w)
     return F.transform(words, trimmed)
@@ -85,7 +89,23 @@ def html_escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+#: Letters that a line needs, and the share of capitals above which it counts as written in capitals.
+UPPER_LETTERS, UPPER_SHARE = 3, 0.85
+
+
 def is_upper(line: Column) -> Column:
     """Three letters or more, over 85 % of them capitals."""
     letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    return (letters >= 3) & (F.regexp_count(line, F.lit(r"\p{Lu}")) / F.greatest(letters, F.lit(1)) > 0.85)
+    return (letters >= UPPER_LETTERS) & (F.regexp_count(line, F.lit(r"\p{Lu}")) / F.greatest(letters, F.lit(1)) > UPPER_SHARE)
+
+
+def in_capitals(line: str) -> bool:
+    """``is_upper`` of one line, for the folds over the lines of a document."""
+    kinds = Counter(unicodedata.category(c) for c in line)
+    letters = sum(n for kind, n in kinds.items() if kind[0] == "L")
+    return letters >= UPPER_LETTERS and kinds["Lu"] > UPPER_SHARE * letters
+
+
+def end_of(text: Column, limit: int) -> Column:
+    """The text, or where it is longer than ``limit`` an ellipsis and its end."""
+    return F.when(F.length(text) > limit, F.concat(F.lit("…"), F.ltrim(F.substring(text, -(limit - 1), limit - 1)))).otherwise(text)

@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prompt import PROMPT as SYSTEM_PROMPT
-from ..functions.text import body, html_escape, source_of
+from ..functions.text import html_escape, source_of
 from ..functions.tiers import TIERS, tier_rank
 from ..functions.words import WordHasher, window_hashes
-from ..session import cut, spread
+from ..session import spread
 
 # The phrasings that the rules look for, portable between the regular-expression engines used here.
 GAP_NEGATION = r"\b(?:non|nessun\w*|parzial\w*|not|no|only\s+partial)\b|n't\b"
@@ -25,6 +24,7 @@ HOSTILE = r"\bazion[ei]\s+legal\w*\b|\bti\s+(?:denunc|quereler)\w*|\bvi\s+(?:den
 PHONE = r"(?<!\d)(?:\+?39[\s.-]?)?3\d{2}[\s.-]?\d{6,7}(?!\d)"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 MARKER = r"NON[_ ]TROVATO"
+SOURCES = "\n\n📄 Fonti: "
 SHINGLE = 6
 LONGEST = 1200
 
@@ -59,32 +59,10 @@ def admits_gap(text: Column) -> Column:
 
 
 def reply(text: Column, citations: Column, refused: Column) -> Column:
-    """The answer ready to send: escaped, with its sources below unless it is a refusal."""
-    known = F.array_sort(F.array_distinct(F.filter(F.coalesce(citations, F.array().cast("array<string>")), lambda c: c.isNotNull())))
-    sources = F.concat(html_escape(text), F.lit("\n\n"), F.array_join(known, ", "))
-    return F.when((F.size(F.coalesce(citations, F.array().cast("array<string>"))) > 0) & ~F.coalesce(refused, F.lit(False)), sources).otherwise(html_escape(text))
-
-
-def unknown_contacts(answers: DataFrame, chunks: DataFrame, callers: DataFrame) -> DataFrame:
-    """``(answer_id)`` of answers to callers below the highest tier with a phone number or e-mail in no visible chunk.
-
-    Numbers (all begin with 3) meet the runs of 9 to 12 figures of each chunk by equality, e-mails those of the same first domain label,
-    then by what holds them; a number that only two chunks put together would hold is not known.
-    """
-    text, rank = F.coalesce("text", F.lit("")), F.coalesce(tier_rank(F.col("tier")), F.lit(len(TIERS)))
-    label, bare = F.regexp_extract("mail", r"(?U)@([\w-]+)", 1), lambda x: F.regexp_replace(x, r"(?U)\D", "")
-    asked = answers.join(callers, "answer_id").where(F.col("caller") < len(TIERS) - 1)
-    phones = asked.select("answer_id", "caller", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?U)" + PHONE), F.lit(0)), bare))).alias("digits"))
-    mails = asked.select("answer_id", "caller", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?U)" + EMAIL), F.lit(0)), F.lower))).alias("mail")).withColumn("label", label)
-    figures = chunks.select(rank.alias("rank"), bare(text).alias("all")).where("length(all) >= 9")
-    known = figures.select("rank", "all", F.explode(F.sequence(F.lit(9), F.least(F.length("all"), F.lit(12)))).alias("n"))
-    known = known.select("rank", F.explode(F.expr("filter(transform(sequence(1, length(all) - n + 1), i -> substring(all, i, n)), x -> startswith(x, '3'))")).alias("digits")).join(phones.select("digits").distinct(), "digits", "left_semi")
-    known = known.groupBy("digits").agg(F.min("rank").alias("rank"))
-    held = chunks.select(rank.alias("rank"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("(?U)" + EMAIL), F.lit(0))).alias("mail"))
-    held = held.groupBy("mail").agg(F.min("rank").alias("rank")).select("rank", F.col("mail").alias("whole"), label.alias("label"))
-    seen = mails.select("mail", "label").distinct().join(held, "label").where(F.contains("whole", "mail")).groupBy("mail").agg(F.min("rank").alias("rank"))
-    unknown = lambda x, y, on: x.join(y, on, "left").where("rank IS NULL OR rank > caller").select("answer_id")
-    return unknown(phones, known, "digits").unionAll(unknown(mails, seen, "mail")).distinct()
+    """The answer ready to send: its sources below unless it is a refusal, escaped, the footer line in italics."""
+    held = F.filter(F.coalesce(citations, F.array().cast("array<string>")), lambda c: c.isNotNull())
+    whole = F.when((F.size(held) > 0) & ~F.coalesce(refused, F.lit(False)), F.concat(text, F.lit(SOURCES), F.array_join(held, ", "))).otherwise(text)
+    return F.regexp_replace(html_escape(whole), r"(?m)^__(.+)__$", "<i>$1</i>")
 
 
 def promise_stems(text: Column) -> Column:
@@ -129,48 +107,3 @@ def shared_shingles(documents: DataFrame, items: DataFrame, n: int = SHINGLE) ->
     a = spread(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")).mapInArrow(_runs("doc_id", n), "doc_id long, run long")
     b = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_runs("item_id", n), "item_id long, run long").distinct()
     return a.join(b, "run").groupBy("doc_id", "item_id").agg(F.countDistinct("run").alias("shared"))
-
-
-def repeated_text(answers: DataFrame, chunks: DataFrame, prompt: str) -> DataFrame:
-    """``(answer_id, shown, prompted)``: the highest tier rank whose chunks share a run of words, and whether the prompt does."""
-    spark = chunks.sparkSession
-    ranks = F.coalesce(tier_rank(F.col("tier")), F.lit(len(TIERS))).cast("long")
-    runs = chunks.select(ranks.alias("id"), "text").mapInArrow(_runs("rank", SHINGLE), "rank long, run long").groupBy("run").agg(F.max("rank").alias("rank"))
-    own = spark.createDataFrame([(0, prompt)], "id long, text string").mapInArrow(_runs("zero", SHINGLE), "zero long, run long").select("run", F.lit(True).alias("own"))
-    said = spread(answers.select(F.col("answer_id").cast("long").alias("id"), "text").where("answer_id IS NOT NULL")).mapInArrow(_runs("answer_id", SHINGLE), "answer_id long, run long")
-    return said.join(runs, "run", "left").join(own, "run", "left").where("rank IS NOT NULL OR own").groupBy("answer_id").agg(F.max("rank").alias("shown"), F.bool_or(F.coalesce("own", F.lit(False))).alias("prompted"))
-
-
-def outcomes(answers: DataFrame, chunks: DataFrame, callers: DataFrame | None = None, prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """``(answer_id, rule)``: the first rule that fires for each answer, or none.
-
-    ``callers(answer_id, caller)`` has the tier rank of each asker; who is missing there has the lowest. All of
-    ``chunks`` count as retrieved.
-    """
-    # Each rule reads both tables: they are kept, so that texts are shuffled once at most.
-    answers, chunks = cut(answers.select("answer_id", "text", "citations", "refused")), cut(chunks.select("id", "text", "tier"))
-    ids = answers.select("answer_id").distinct()
-    if callers is None:
-        callers = ids.select("answer_id", F.lit(0).alias("caller"))
-    callers = ids.join(callers.groupBy("answer_id").agg(F.min("caller").alias("caller")), "answer_id", "left").select("answer_id", F.coalesce("caller", F.lit(0)).alias("caller"))
-    seen = _cited(answers).join(chunks.select("id", F.coalesce(tier_rank(F.col("tier")), F.lit(len(TIERS))).alias("rank")), "id").groupBy("answer_id").agg(F.max("rank").alias("cited_rank"))
-    flag = lambda df, name: df.select("answer_id", F.lit(True).alias(name))
-    checked = answers.join(citation_validity(answers, chunks), "answer_id", "left").join(callers, "answer_id", "left").join(seen, "answer_id", "left")
-    checked = checked.join(repeated_text(answers, chunks, prompt), "answer_id", "left")
-    checked = checked.join(flag(unsupported_promises(answers, chunks, callers), "promised"), "answer_id", "left").join(flag(unknown_contacts(answers, chunks, callers), "contact"), "answer_id", "left")
-    text = F.coalesce("text", F.lit(""))
-    rule = (
-        F.when(F.coalesce("refused", F.lit(False)), "already_refused")
-        .when(F.col("shown") > F.col("caller"), "hidden_chunk_text")
-        .when(F.col("prompted"), "system_prompt_leak")
-        .when(text.rlike("(?i)" + INJECTION), "injection_in_output")
-        .when(F.col("promised"), "unsupported_promise")
-        .when(F.col("contact"), "personal_data")
-        .when(text.rlike("(?i)" + HOSTILE), "hostile_tone")
-        .when(F.size(F.coalesce("citations", F.array().cast("array<string>"))) == 0, "uncited_answer")
-        .when(F.coalesce("invented", F.lit(0)) > 0, "invented_citation")
-        .when(F.col("cited_rank") > F.col("caller"), "hidden_citation")
-        .when(F.length(body(text)) > LONGEST, "too_long")
-        .otherwise("none")
-    )
-    return checked.select("answer_id", rule.alias("rule"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.tiers import TIERS, tier_rank
-from ..session import spread
 
 #: Fixed values of the keyword score and of the fusion.
 K1, B = 1.5, 0.75
 FUSE_K, KEYWORD_WEIGHT, EVIDENCE = 2, 0.5, 5
-#: Query vectors held by a worker at a time; more queries are taken in further blocks.
-QUERY_BLOCK = 4096
+#: Query vectors and row vectors of a block, about; more are taken in further blocks.
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
@@ -32,13 +29,13 @@ def postings(rows: DataFrame) -> DataFrame:
     return counted.select("id", "source", "n", "rank", "dl", F.explode("ts").alias("term")).groupBy("id", "source", "n", "rank", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def keyword_ranking(rows: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """BM25 of every query ``(qid, question, tier)`` over the rows visible to its tier, in one job.
+def keyword_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 of every query ``(qid, question, tier)`` over the rows visible to its tier, in one job, unranked.
 
     Statistics (rows, mean length, document frequency) are over visible rows only, and are kept per tier: three
     aggregates of the postings, whatever the number of queries. Postings are cut to the queries' terms before they
     meet the queries, so frequent terms that nobody asks for are never shuffled to the join. Returns ``(qid, id,
-    source, n, score, position)``, best first, ties in corpus order, and only rows that share a term.
+    source, n, score)`` of the rows that share a term; a query of an unknown tier sees nothing.
     """
     asked = queries.select("qid", tier_rank(F.col("tier")).alias("caller"), F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")).where("caller IS NOT NULL")
     callers = F.explode(F.sequence(F.col("rank"), F.lit(len(TIERS) - 1)))
@@ -51,45 +48,74 @@ def keyword_ranking(rows: DataFrame, queries: DataFrame, k: int | None = None) -
     hits = weighted.join(entries, "term").where("rank <= caller")
     idf = F.log(1 + (F.col("rows_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("mean_dl"))
-    scored = hits.groupBy("qid", "id", "source", "n").agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
+    return hits.groupBy("qid", "id", "source", "n").agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
+
+
+def keyword_ranking(rows: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """The scores of ``keyword_scores`` ranked: ``(qid, id, source, n, score, position)``, best first, ties in corpus order."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "source", "n", "id")
-    ranked = scored.withColumn("position", F.row_number().over(order))
+    ranked = keyword_scores(rows, queries).withColumn("position", F.row_number().over(order))
     return ranked.where(F.col("position") <= k) if k else ranked
 
 
-def _cosines(block, k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = block.value
-        for frame in frames:
-            rows = np.array(frame["embedding"].tolist(), np.float64).reshape(len(frame), -1)
-            if not len(rows) or not len(ids):
-                continue
-            score = np.round(matrix @ rows.T, 6)
-            at = frame["vec_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(at, score.shape), -score), axis=1)[:, :k]
-            yield pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "vec_id": at[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+def keyword_search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(qid, id, score, position)``: the ``k`` best visible rows of each query, those without a common term last.
+
+    Rows without a common term score 0 and stand in corpus order, so a query of a known tier gets ``k`` rows if it may see
+    as many. Only the first ``2 k`` rows of the corpus order are looked at for them, tier by tier: at most ``k`` of
+    these can be hits already.
+    """
+    hits = keyword_ranking(rows, queries, k).select("qid", "id", "score", "position")
+    asked = queries.select("qid", tier_rank(F.col("tier")).alias("caller")).where("caller IS NOT NULL").distinct()
+    ranked = rows.select("id", "source", "n", tier_rank(F.col("tier")).alias("rank")).where("rank IS NOT NULL")
+    first = None
+    for caller in range(len(TIERS)):
+        part = ranked.where(F.col("rank") <= caller).orderBy("source", "n", "id").limit(2 * k).select(F.lit(caller).alias("caller"), "id", "source", "n")
+        first = part if first is None else first.unionAll(part)
+    rest = asked.join(F.broadcast(first), "caller").join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+    order = Window.partitionBy("qid").orderBy("source", "n", "id")
+    rest = rest.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+    found = hits.groupBy("qid").agg(F.count("*").cast("int").alias("found"))
+    filled = rest.join(found, "qid", "left").select("qid", "id", F.lit(0.0).alias("score"), (F.coalesce("found", F.lit(0)) + F.col("at")).cast("int").alias("position"))
+    return hits.unionByName(filled).where(F.col("position") <= k)
+
+
+def _block_top(k: int):
+    def run(_: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": [], "vec_id": [], "score": []}).astype({"qid": "int64", "vec_id": "int64"})
+        if not len(asked) or not len(rows):
+            return empty
+        q, x = (np.array(v.tolist(), np.float64).reshape(len(v), -1) for v in (asked["vector"], rows["place"]))
+        at, ids = rows["id"].to_numpy(), asked["qid"].to_numpy()
+        score = np.round(q @ x.T, 6)
+        # Rows that the asker may not see are out before anything is ranked.
+        score[rows["rank"].to_numpy()[None, :] > asked["caller"].to_numpy()[:, None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(at, score.shape), -score), axis=1)[:, :k]
+        out = pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "vec_id": at[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+        return out[np.isfinite(out["score"])]
 
     return run
 
 
 def vector_ranking(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest ``vectors(vec_id, embedding)`` of each of ``queries(vec_id, embedding)`` by dot product.
+    """The ``k`` nearest visible ``vectors(vec_id, embedding, tier)`` of each of ``queries(vec_id, embedding, tier)``.
 
-    Queries are taken in blocks of bounded size, each one matrix product per batch of rows, and only the best ``k``
-    of a batch leave the worker. Rows with a null id or vector are left out. Returns ``(qid, vec_id, score, position)``.
+    Nearness is the dot product, ties go by id. Rows and queries are cut into blocks of bounded size by a hash of their
+    ids; each pair of blocks is one matrix product in one task, of which only the best ``k`` of a query leave. Nothing
+    goes through the driver but the two counts. Without a ``tier`` column all rows are public. Rows and queries with a null id
+    or vector and rows or queries of an unknown tier are left out. Returns ``(qid, vec_id, score, position)``.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
-    picked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
-    blocks = max(1, -(-picked.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        got = picked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas()
-        shared = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.array(got["embedding"].tolist(), np.float64).reshape(len(got), -1)))
-        part = spread(rows).mapInPandas(_cosines(shared, k), "qid long, vec_id long, score double")
-        out = part if out is None else out.unionAll(part)
+    tier = lambda df: tier_rank(F.col("tier")) if "tier" in df.columns else F.lit(0)
+    rows = vectors.select("vec_id", "embedding", tier(vectors).alias("rank")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND rank IS NOT NULL")
+    asked = queries.select("vec_id", "embedding", tier(queries).alias("caller")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND caller IS NOT NULL")
+    nr, nq = max(1, -(-rows.count() // ROW_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(block(nq).alias("b"), every(nr).alias("g"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "caller")
+    right = rows.select(every(nq).alias("b"), block(nr).alias("g"), F.col("vec_id").alias("id"), F.col("embedding").alias("place"), "rank")
+    best = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(_block_top(k), "qid long, vec_id long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def fuse(first: DataFrame, second: DataFrame, weight: float = KEYWORD_WEIGHT, k: int = FUSE_K, evidence: int = EVIDENCE) -> DataFrame:
@@ -116,16 +142,57 @@ def fuse(first: DataFrame, second: DataFrame, weight: float = KEYWORD_WEIGHT, k:
 
 
 def fused_top(vectors: DataFrame, queries: DataFrame, second: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
-    """The first ``evidence`` rows of the fusion of the whole vector ranking with ``second(qid, id, score, position)``.
+    """The first ``evidence`` rows of the fusion of the whole vector ranking with ``second(qid, id, score)``.
 
     Only the first ``evidence`` rows and the best row of ``second`` can stand there, wherever that one lies in the
     vector ranking. So the ranking is cut one row later, which tells that it is longer, and the best row of ``second``
-    is added behind if it has a vector: its own place beyond the cut changes nothing above.
+    is added behind if it has a vector: its own place beyond the cut changes nothing above. ``second`` is likewise cut to
+    these rows before it is ranked, so that no query's hits are sorted as a whole; its ties go by ``source``, ``n`` (where
+    given) and ``id``.
     """
     first = vector_ranking(vectors, queries, evidence + 1).select("qid", F.col("vec_id").alias("id"), "score", "position")
-    best = second.where("score > 0").groupBy("qid").agg(F.min_by("id", "position").alias("id"))
+    ties = [c for c in ("source", "n", "id") if c in second.columns]
+    best = second.where("score > 0").groupBy("qid").agg(F.max("score").alias("top"))
+    best = second.join(best, "qid").where("score = top").groupBy("qid").agg(F.min(F.struct(*ties)).alias("s")).select("qid", "s.id")
     held = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("id"))
     asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("qid"))
     deep = best.join(held, "id", "left_semi").join(asked, "qid", "left_semi").join(first, ["qid", "id"], "left_anti")
     whole = first.unionByName(deep.select("qid", "id", F.lit(None).cast("double").alias("score"), F.lit(evidence + 2).alias("position")))
-    return fuse(whole, second, evidence=evidence).where(F.col("position") <= evidence)
+    near = second.join(first.where(F.col("position") <= evidence).select("qid", "id").unionByName(best).distinct(), ["qid", "id"], "left_semi")
+    ranked = near.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), *ties)))
+    return fuse(whole, ranked.select("qid", "id", "score", "position"), evidence=evidence).where(F.col("position") <= evidence)
+
+
+def asserted(hits: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same hits, or an error if any of them may not be seen by its asker: the last check after every ranking."""
+    checked = hits.join(rows.select("id", tier_rank(F.col("tier")).alias("_rank")), "id", "left").join(queries.select("qid", tier_rank(F.col("tier")).alias("_caller")), "qid", "left")
+    good = F.coalesce(F.col("_rank") <= F.col("_caller"), F.lit(False))
+    return checked.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(F.lit("a hit that its asker may not see")).cast(dict(hits.dtypes)["id"]))).select(*hits.columns)
+
+
+METHODS = ("keyword", "vector", "hybrid")
+
+
+def search(rows: DataFrame, queries: DataFrame, method: str = "hybrid", k: int = EVIDENCE, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """``(qid, id, score, position)``: the ``k`` best rows of each of ``queries(qid, question, tier)`` that its asker may see.
+
+    ``vectors(id, embedding)`` and ``query_vectors(qid, embedding)`` hold the embeddings; without them every method is the
+    keyword one. ``hybrid`` gives at most the ``EVIDENCE`` rows for which it is defined. An unknown method or ``k`` under 1
+    is refused before anything is read, a query of an unknown tier gets nothing, and a hit above its asker's tier raises.
+    """
+    if method not in METHODS or k < 1:
+        raise ValueError(f"method must be one of {', '.join(METHODS)} and k at least 1")
+    if method == "keyword" or vectors is None or query_vectors is None:
+        return asserted(keyword_search(rows, queries, k), rows, queries)
+    # Vector ids are numbers: ids stand under their 64-bit hash there.
+    number = rows.select("id", "tier", F.xxhash64("id").alias("vec_id"))
+    asked = queries.select("qid", "tier", F.xxhash64("qid").alias("q"))
+    v = vectors.join(number, "id").select("vec_id", "embedding", "tier")
+    q = query_vectors.join(asked, "qid").select(F.col("q").alias("vec_id"), "embedding", "tier")
+    if method == "vector":
+        found = vector_ranking(v, q, k).select(F.col("qid").alias("q"), "vec_id", "score", "position")
+    else:
+        second = keyword_scores(rows, queries).join(asked.select("qid", "q"), "qid").select(F.col("q").alias("qid"), F.xxhash64("id").alias("id"), "source", "n", "score")
+        found = fused_top(v, q, second).where(F.col("position") <= k).select(F.col("qid").alias("q"), F.col("id").alias("vec_id"), "score", "position")
+    out = found.join(number.select("vec_id", "id"), "vec_id").join(asked.select("q", "qid"), "q").select("qid", "id", "score", "position")
+    return asserted(out, rows, queries)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.prompt import PROMPT
 from ..functions.tiers import TIERS, default_tier, tier_rank, tier_table, visible
-from ..operators import conversation, evaluate, guardrails, ingest, scanner
-from ..operators.retrieve import corpus, fused_top, keyword_ranking, vector_ranking
+from ..operators import answering, conversation, evaluate, guardrails, indexing, ingest, scanner
+from ..operators.answering import prompt_shingles
+from ..operators.retrieve import corpus, fused_top, keyword_ranking, keyword_scores, search, vector_ranking
 from ..session import table
 
 QUERIES: dict = {}
@@ -31,7 +33,7 @@ def _in(words) -> str:
 
 RANK = "CASE {0} WHEN 'public' THEN 0 WHEN 'resident' THEN 1 WHEN 'staff' THEN 2 END"
 CHUNKS = f"ch AS (SELECT DISTINCT ON (id) id, text, source, tier, section, coalesce(try_cast(regexp_extract(id, '#([0-9]+)$', 1) AS INT), 0) AS n, {RANK.format('tier')} AS rank FROM chunks WHERE id IS NOT NULL)"
-PLAIN = f"translate(lower(coalesce({{0}}, '')), '{T.ACCENTED}', '{T.PLAIN}')"
+PLAIN = f"translate(regexp_replace(lower(coalesce({{0}}, '')), '\\p{{{{M}}}}', '', 'g'), '{T.ACCENTED}', '{T.PLAIN}')"
 TOKENS = f"list_transform(list_filter(regexp_extract_all({PLAIN}, '\\d+(?:[.,:/]\\d+)*|[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda w: w NOT IN ({_in(T.STOPWORDS)})), lambda w: CASE WHEN length(w) > 4 AND regexp_matches(w, '[aeio]$') AND NOT regexp_matches(w, '^[0-9]') THEN w[:length(w)-1] ELSE w END)"
 CITED = "list_distinct(regexp_extract_all(coalesce({0}, ''), '\\[([^\\[\\]]+#[^\\[\\]]+)\\]', 1))"
 
@@ -121,8 +123,9 @@ def denied_exchanges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TURNS}, x AS (SELECT turn_id, user_id, epoch_us(ts) AS t FROM tu WHERE user_id IS NOT NULL AND ts IS NOT NULL) "
-    "SELECT turn_id, least(count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) - 1, 4) AS recent FROM x"
+    f"WITH {TURNS}, x AS (SELECT *, epoch_us(ts) AS t, CASE WHEN lower(trim(question)) = '/reset' THEN 1 ELSE 0 END AS reset FROM tu WHERE user_id IS NOT NULL AND ts IS NOT NULL), "
+    "y AS (SELECT turn_id, user_id, t, coalesce(sum(reset) OVER (PARTITION BY user_id ORDER BY ts, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM x) "
+    "SELECT turn_id, least(count(*) OVER (PARTITION BY user_id, session ORDER BY t RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) - 1, 4) AS recent FROM y"
 )
 def recent_turns(spark: SparkSession, d: str) -> DataFrame:
     """How many turns of the last ten minutes (four at most) a turn's context holds."""
@@ -206,11 +209,18 @@ def leaks_by_tier(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(asked, "qid").groupBy(F.col("caller").alias("tier")).agg(F.count("*").alias("hits"), F.count_if(leak).alias("leaks"))
 
 
-@query(BM25 + ", a AS (SELECT DISTINCT id, tier, expected_sources FROM questions), g AS (SELECT a.id AS qid, a.tier, min(position) AS rank FROM a LEFT JOIN r ON r.qid = a.id AND list_contains(a.expected_sources, r.source) WHERE len(a.expected_sources) > 0 GROUP BY ALL) "
-    "SELECT tier, count(*) AS questions, count_if(rank <= 1) AS first, count_if(rank <= 5) AS top5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM g GROUP BY tier")
+@query(
+    BM25 + ", a AS (SELECT DISTINCT ON (id) * FROM questions), rc AS (SELECT DISTINCT a.id AS qid, ch.id FROM (SELECT id, expect, expected_answer, unnest(expected_sources) AS source FROM a) a JOIN ch ON ch.source = a.source "
+    "WHERE expect = 'answer' AND expected_answer <> '' AND contains(lower(ch.text), lower(expected_answer))), "
+    "g AS (SELECT a.id AS qid, a.tier, a.id IN (SELECT qid FROM rc) AS scored, (SELECT min(position) FROM r JOIN rc ON rc.qid = r.qid AND rc.id = r.id WHERE r.qid = a.id) AS rank, "
+    "(SELECT min(position) FROM r WHERE r.qid = a.id AND list_contains(a.expected_sources, r.source)) AS doc_rank FROM a) "
+    "SELECT tier, count_if(scored) AS n_scored, round(coalesce(count_if(scored AND rank <= 1) / nullif(count_if(scored), 0), 0), 6) AS piece_1st, round(coalesce(count_if(scored AND rank <= 3) / nullif(count_if(scored), 0), 0), 6) AS piece_top3, "
+    "round(coalesce(count_if(scored AND rank <= 5) / nullif(count_if(scored), 0), 0), 6) AS piece_top5, round(coalesce(sum(CASE WHEN scored THEN coalesce(1.0 / rank, 0) END) / nullif(count_if(scored), 0), 0), 6) AS mrr, "
+    "round(coalesce(count_if(scored AND doc_rank = 1) / nullif(count_if(scored), 0), 0), 6) AS doc_1st, 0::BIGINT AS leaks FROM g GROUP BY tier"
+)
 def mrr_hit_at_k(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of the first expected document of each question: hits at 1 and 5 and the mean reciprocal rank, by tier."""
-    return evaluate.hit_rates(_ranked(spark, d, None), _questions(spark, d))
+    """By tier: shares of questions whose right chunk is first, in the first three and five, and its mean reciprocal rank."""
+    return evaluate.measures(evaluate.measured(_ranked(spark, d, None), _questions(spark, d), corpus(table(spark, d, "chunks"))), "tier")
 
 
 @query(
@@ -224,14 +234,22 @@ def right_chunks(spark: SparkSession, d: str) -> DataFrame:
 # -- vectors and fusion ------------------------------------------------------------------------------------------
 
 
-VECTORS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-    vs AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0),
+RANKED = RANK.format("tier")
+DOCS = f"dt AS (SELECT doc_id, max({RANKED}) AS rank, max(coalesce({RANKED}, 0)) AS caller FROM documents GROUP BY doc_id)"
+VECTORS = f"""{DOCS}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, rank, caller FROM embeddings JOIN dt ON doc_id = vec_id),
+    vs AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON b.rank <= a.caller WHERE a.vec_id % 20 = 0),
     vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS position FROM vs)"""
 
 
+def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with the tier of their document, and as queries (ids divisible by 20) with the tier of an asker."""
+    tiers = table(spark, d, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("tier").alias("tier"))
+    rows = table(spark, d, "embeddings").join(tiers, "vec_id").select("vec_id", "embedding", "tier")
+    return rows, rows.where("vec_id % 20 = 0").withColumn("tier", default_tier(F.col("tier")))
+
+
 def _vectors(spark: SparkSession, d: str, k: int) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    return vector_ranking(rows, rows.where("vec_id % 20 = 0"), k)
+    return vector_ranking(*_embedded(spark, d), k)
 
 
 @query(f"WITH {VECTORS} SELECT qid, id AS vec_id, round(score, 4) AS score, position FROM vr WHERE position <= 10")
@@ -245,15 +263,16 @@ def median_top1(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d, 2).where("position = 2").agg(F.median("score").alias("median_score"), F.count("*").alias("queries"))
 
 
-KEYWORD = f"""b AS (SELECT doc_id AS id, {_tok('text')} AS ts FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-    bl AS (SELECT id, len(ts) AS dl, ts FROM b), st AS (SELECT count(*) AS rows_n, avg(dl) AS mean_dl FROM bl),
-    p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(ts) AS term FROM bl) GROUP BY ALL),
-    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    kq AS (SELECT doc_id AS qid, unnest(list_distinct({_tok("coalesce(title, source)")})) AS term FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
-    ks AS (SELECT qid, p.id, round(sum(ln(1 + (rows_n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean_dl))), 6) AS score FROM kq JOIN f USING (term) JOIN p USING (term), st GROUP BY ALL),
+KEYWORD = f"""b AS (SELECT d.doc_id AS id, rank, {_tok('text')} AS ts FROM documents d JOIN dt USING (doc_id) WHERE rank IS NOT NULL AND d.doc_id IN (SELECT vec_id FROM embeddings)),
+    bl AS (SELECT id, rank, len(ts) AS dl, ts FROM b), cl(caller) AS (VALUES (0), (1), (2)),
+    st AS (SELECT caller, count(*) AS rows_n, avg(dl) AS mean_dl FROM bl JOIN cl ON rank <= caller GROUP BY caller),
+    p AS (SELECT id, rank, dl, term, count(*) AS tf FROM (SELECT id, rank, dl, unnest(ts) AS term FROM bl) GROUP BY ALL),
+    f AS (SELECT term, caller, count(*) AS df FROM p JOIN cl ON rank <= caller GROUP BY ALL),
+    kq AS (SELECT d.doc_id AS qid, caller, unnest(list_distinct({_tok("coalesce(title, source)")})) AS term FROM documents d JOIN dt USING (doc_id) WHERE d.doc_id % 20 = 0 AND d.doc_id IN (SELECT vec_id FROM embeddings)),
+    ks AS (SELECT qid, p.id, round(sum(ln(1 + (rows_n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean_dl))), 6) AS score FROM kq JOIN f USING (term, caller) JOIN st USING (caller) JOIN p ON p.term = kq.term AND p.rank <= kq.caller GROUP BY ALL),
     kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS position FROM ks)"""
-FUSED = """kk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS position FROM kr WHERE score > 0 AND (qid, id) IN (SELECT (qid, id) FROM v50 WHERE position <= 5)),
-    u AS (SELECT qid, id, 1.0::DOUBLE / (2 + position) AS s, position FROM v50 UNION ALL SELECT qid, id, 0.5::DOUBLE / (2 + position), NULL FROM kk),
+FUSED = """kk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS position FROM kr WHERE score > 0 AND (qid, id) IN (SELECT (qid, id) FROM vr WHERE position <= 5)),
+    u AS (SELECT qid, id, 1.0::DOUBLE / (2 + position) AS s, position FROM vr UNION ALL SELECT qid, id, 0.5::DOUBLE / (2 + position), NULL FROM kk),
     fu AS (SELECT qid, id, round(sum(s), 12) AS score, min(position) AS corpus FROM u GROUP BY ALL),
     fp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, corpus, id) AS position, count(*) OVER (PARTITION BY qid) AS size FROM fu),
     be AS (SELECT qid, arg_min(id, position) AS best FROM kr WHERE score > 0 GROUP BY qid),
@@ -261,27 +280,47 @@ FUSED = """kk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY p
     mo AS (SELECT fp.qid, fp.id, CASE WHEN best_at > 5 AND size > 5 AND position = best_at THEN 5 WHEN best_at > 5 AND size > 5 AND position >= 5 AND position < best_at THEN position + 1 ELSE position END AS position FROM fp LEFT JOIN ba USING (qid))"""
 
 
-@query(f"WITH {VECTORS}, v50 AS (SELECT * FROM vr WHERE position <= 50), {KEYWORD}, {FUSED} SELECT qid, mo.id, round(fp.score, 6) AS score, mo.position::INT AS position FROM mo JOIN fp USING (qid, position) WHERE mo.position <= 5")
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Vector and keyword rankings of the same documents, fused, with the rescue of the best keyword hit."""
-    vectors = table(spark, d, "embeddings")
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword scores of the documents with a vector, asked with their titles by askers of their own tier."""
     rows = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    docs = rows.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("source"), F.lit(0).alias("n"), F.lit("public").alias("tier"))
-    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "source").alias("question"), F.lit("public").alias("tier"))
-    second = keyword_ranking(docs, asked).select("qid", "id", "score", "position")
-    return fused_top(vectors, vectors.where("vec_id % 20 = 0"), second).select("qid", "id", F.round("score", 6).alias("score"), "position")
+    docs = rows.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("source"), F.lit(0).alias("n"), "tier")
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "source").alias("question"), default_tier(F.col("tier")).alias("tier"))
+    return keyword_scores(docs, asked).select("qid", "id", "score")
 
 
-@query(f"WITH {VECTORS}, v50 AS (SELECT * FROM vr WHERE position <= 50), {KEYWORD} SELECT qid, id, CASE WHEN k.position < v.position THEN 'better' WHEN k.position > v.position THEN 'worse' ELSE 'same' END AS verdict FROM v50 v JOIN (SELECT qid, id, position FROM kr) k USING (qid, id) WHERE v.position <= 10")
+@query(f"WITH {VECTORS}, {KEYWORD}, {FUSED} SELECT qid, mo.id, round(fp.score, 6) AS score, mo.position::INT AS position FROM mo JOIN fp USING (qid, position) WHERE mo.position <= 5")
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and keyword rankings of the same documents, fused, with the rescue of the best keyword hit, tier by tier."""
+    return fused_top(*_embedded(spark, d), _titled(spark, d)).select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+@query(f"WITH {VECTORS}, {KEYWORD} SELECT qid, id, CASE WHEN k.position < v.position THEN 'better' WHEN k.position > v.position THEN 'worse' ELSE 'same' END AS verdict FROM vr v JOIN (SELECT qid, id, position FROM kr) k USING (qid, id) WHERE v.position <= 10")
 def rank_compare(spark: SparkSession, d: str) -> DataFrame:
     """Whether the keyword ranking puts a near document higher than the vector ranking does."""
     first = _vectors(spark, d, 10).select("qid", F.col("vec_id").alias("id"), F.col("position").alias("v"))
-    rows = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    docs = rows.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("source"), F.lit(0).alias("n"), F.lit("public").alias("tier"))
-    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "source").alias("question"), F.lit("public").alias("tier"))
-    second = keyword_ranking(docs, asked).select("qid", "id", F.col("position").alias("k"))
+    scores = _titled(spark, d)
+    # Only the near documents' places are wanted: the better hits of their queries are counted, not sorted.
+    mine = scores.join(first, ["qid", "id"]).select("qid", "id", "v", "score")
+    above = scores.select("qid", F.col("id").alias("other"), F.col("score").alias("s")).join(mine, "qid").where("s > score OR (s = score AND other < id)")
+    places = mine.join(above.groupBy("qid", "id").agg(F.count("*").alias("above")), ["qid", "id"], "left").withColumn("k", F.coalesce("above", F.lit(0)) + 1)
     verdict = F.when(F.col("k") < F.col("v"), "better").when(F.col("k") > F.col("v"), "worse").otherwise("same")
-    return first.join(second, ["qid", "id"]).select("qid", "id", verdict.alias("verdict"))
+    return places.select("qid", "id", verdict.alias("verdict"))
+
+
+@query(
+    f"WITH {VECTORS}, {KEYWORD}, {FUSED}, h AS (SELECT 'vector' AS method, qid, id FROM vr WHERE position <= 10 UNION ALL SELECT 'keyword', qid, id FROM kr WHERE position <= 10 UNION ALL SELECT 'hybrid', qid, id FROM mo WHERE position <= 5) "
+    "SELECT method, count(*) AS hits, count_if(NOT coalesce(a.rank <= q.caller, false)) AS leaks FROM h JOIN dt a ON a.doc_id = h.id JOIN dt q ON q.doc_id = h.qid GROUP BY method"
+)
+def leaks_by_method(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each method and how many of them their askers may not see (none)."""
+    rows, asked = _embedded(spark, d)
+    scores = _titled(spark, d)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    hits = vector_ranking(rows, asked, 10).select(F.lit("vector").alias("method"), "qid", F.col("vec_id").alias("id"))
+    hits = hits.unionByName(scores.withColumn("p", F.row_number().over(best)).where("p <= 10").select(F.lit("keyword").alias("method"), "qid", "id"))
+    hits = hits.unionByName(fused_top(rows, asked, scores).select(F.lit("hybrid").alias("method"), "qid", "id"))
+    seen = hits.join(rows.select(F.col("vec_id").alias("id"), tier_rank(F.col("tier")).alias("rank")), "id").join(asked.select(F.col("vec_id").alias("qid"), tier_rank(F.col("tier")).alias("caller")), "qid")
+    return seen.groupBy("method").agg(F.count("*").alias("hits"), F.count_if(~F.coalesce(F.col("rank") <= F.col("caller"), F.lit(False))).alias("leaks"))
 
 
 # -- answers, citations and guardrails ---------------------------------------------------------------------------
@@ -340,17 +379,35 @@ def hostile_flags(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).where(F.col("text").rlike("(?i)" + guardrails.HOSTILE)).select("answer_id").distinct()
 
 
-@query(
-    f"WITH {ANSWERS}, {CHUNKS}, x AS (SELECT DISTINCT answer_id, unnest(citations) AS id FROM an), k AS (SELECT answer_id, count_if(id NOT IN (SELECT id FROM ch)) AS invented FROM x WHERE id IS NOT NULL GROUP BY answer_id) "
-    f"SELECT rule, count(*) AS answers FROM (SELECT CASE WHEN coalesce(refused, false) THEN 'already_refused' WHEN regexp_matches(coalesce(text, ''), '{guardrails.INJECTION}', 'i') THEN 'injection_in_output' WHEN regexp_matches(coalesce(text, ''), '{guardrails.HOSTILE}', 'i') THEN 'hostile_tone' "
-    "WHEN len(coalesce(citations, [])) = 0 THEN 'uncited_answer' WHEN coalesce(invented, 0) > 0 THEN 'invented_citation' WHEN length(regexp_replace(coalesce(text, ''), '\\n\\n(__[^\\n]*__)\\s*$', '')) > 1200 THEN 'too_long' ELSE 'none' END AS rule FROM an LEFT JOIN k USING (answer_id)) GROUP BY rule"
-)
+SIX = "list_distinct(list_transform(range(1, greatest(len({0}) - 4, 1)), lambda i: array_to_string({0}[i:i+5], ' ')))"
+SIXES = "CASE WHEN len(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')) < 6 THEN [] ELSE " + SIX.format("regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')") + " END"
+BODY = "regexp_replace(coalesce(text, ''), '\\n\\n(__[^\\n]*__)\\s*$', '')"
+PHONES = r"list_transform(regexp_extract_all(coalesce(text, ''), '(?:^|\D)((?:\+?39[\s.-]?)?3\d{2}[\s.-]?\d{6,7})(?:\D|$)', 1), lambda x: regexp_replace(x, '\D', '', 'g'))"
+GUARDED = f"""{ANSWERS}, {CHUNKS}, {USERS},
+    ca AS (SELECT turn_id, min(CASE tier WHEN 'resident' THEN 1 WHEN 'staff' THEN 2 ELSE 0 END) AS caller FROM (SELECT DISTINCT turn_id, user_id FROM turns) JOIN u USING (user_id) GROUP BY turn_id),
+    g AS (SELECT row_number() OVER () AS rid, a.*, coalesce(caller, 0) AS caller FROM an a LEFT JOIN ca USING (turn_id)),
+    c AS (SELECT rid, caller, unnest(list_distinct(list_filter(coalesce(citations, []), lambda x: x IS NOT NULL))) AS id FROM g),
+    k AS (SELECT rid, ch.text, ch.id IS NOT NULL AS known, coalesce(ch.rank <= caller, false) AS seen FROM c LEFT JOIN ch ON ch.id = c.id),
+    s AS (SELECT rid, count_if(NOT known) AS made, count_if(known AND NOT seen) AS hidden, count_if(seen) AS kept, coalesce(string_agg(lower(coalesce(text, '')), ' ') FILTER (seen), '') AS seen_text, coalesce(flatten(list({SIXES.format('text')}) FILTER (known AND NOT seen)), []) AS secret FROM k GROUP BY rid),
+    x AS (SELECT g.*, coalesce(made, 0) AS made, coalesce(hidden, 0) AS hidden, coalesce(kept, 0) AS kept, coalesce(seen_text, '') AS seen_text, coalesce(secret, []) AS secret, {SIXES.format('text')} AS own FROM g LEFT JOIN s USING (rid)),
+    y AS (SELECT *, CASE WHEN coalesce(refused, false) THEN NULL WHEN list_has_any(own, secret) THEN 'hidden_chunk_text' WHEN list_has_any(own, [{_in(prompt_shingles(PROMPT))}]) THEN 'system_prompt_leak'
+        WHEN regexp_matches(coalesce(text, ''), '{guardrails.INJECTION}', 'i') THEN 'injection_in_output'
+        WHEN len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i){guardrails.PROMISE}'), lambda p: NOT contains(seen_text, lower(p)[:6]))) > 0 THEN 'unsupported_promise'
+        WHEN caller < 2 AND (len(list_filter({PHONES}, lambda p: NOT contains(regexp_replace(seen_text, '\\D', '', 'g'), p))) > 0 OR len(list_filter(regexp_extract_all(coalesce(text, ''), '{guardrails.EMAIL}'), lambda m: NOT contains(seen_text, lower(m)))) > 0) THEN 'personal_data'
+        WHEN regexp_matches(coalesce(text, ''), '{guardrails.HOSTILE}', 'i') THEN 'hostile_tone' WHEN kept = 0 THEN 'uncited_answer' END AS rule FROM x),
+    fi AS (SELECT unnest(list_filter([CASE WHEN made > 0 THEN 'invented_citation' END, CASE WHEN hidden > 0 THEN 'hidden_citation' END, rule, CASE WHEN NOT coalesce(refused, false) AND rule IS NULL AND length({BODY}) > 1200 THEN 'too_long' END], lambda r: r IS NOT NULL)) AS rule FROM y)"""
+
+
+@query(f"WITH {GUARDED} SELECT rule, count(*) AS answers FROM fi GROUP BY rule")
 def guardrail_counts(spark: SparkSession, d: str) -> DataFrame:
-    """First rule of each answer, by the tier of the member who asked."""
+    """How often each rule fires over all answers, by the tier of the member who asked; the known cited chunks stand for the retrieved ones."""
     turns = table(spark, d, "turns").select("turn_id", "user_id").distinct()
-    tiers = conversation.members(table(spark, d, "members")).select("user_id", tier_rank(default_tier(F.col("tier"))).alias("caller"))
-    callers = table(spark, d, "answers").select("answer_id", "turn_id").distinct().join(turns, "turn_id").join(tiers, "user_id").select("answer_id", "caller")
-    return guardrails.outcomes(_answers(spark, d), corpus(table(spark, d, "chunks")), callers).groupBy("rule").agg(F.count("*").alias("answers"))
+    tiers = conversation.members(table(spark, d, "members")).select("user_id", default_tier(F.col("tier")).alias("tier"))
+    ranks = turns.join(tiers, "user_id").groupBy("turn_id").agg(F.min_by("tier", tier_rank(F.col("tier"))).alias("tier"))
+    rows = _answers(spark, d).join(ranks, "turn_id", "left").withColumn("row", F.xxhash64("answer_id", "turn_id", "text", F.to_json("citations"), "confidence", "refused"))
+    cited = rows.select("row", F.explode("citations").alias("id")).distinct()
+    held = answering.supplied(cited.select(F.col("row").alias("qid"), "id", F.lit(0).alias("position")), corpus(table(spark, d, "chunks")))
+    return answering.firing_counts(answering.apply_guardrails(rows.join(held, rows.row == held.qid, "left").drop("qid")))
 
 
 @query(f"WITH {ANSWERS}, {TURNS}, {USERS} SELECT a.answer_id, CASE WHEN coalesce(u.tier, 'public') <> 'public' THEN '[withheld: ' || u.tier || ']' ELSE a.text END AS answer FROM an a JOIN tu USING (turn_id) LEFT JOIN u USING (user_id)")
@@ -360,8 +417,9 @@ def redacted_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {ANSWERS} SELECT answer_id, CASE WHEN len(coalesce(citations, [])) > 0 AND NOT coalesce(refused, false) THEN e || chr(10) || chr(10) || array_to_string(list_sort(list_distinct(list_filter(citations, lambda c: c IS NOT NULL))), ', ') ELSE e END AS reply "
-    "FROM (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM an WHERE text IS NOT NULL)"
+    f"WITH {ANSWERS}, h AS (SELECT *, list_filter(coalesce(citations, []), lambda c: c IS NOT NULL) AS held FROM an WHERE text IS NOT NULL), "
+    f"w AS (SELECT answer_id, CASE WHEN len(held) > 0 AND NOT coalesce(refused, false) THEN text || '{guardrails.SOURCES}' || array_to_string(held, ', ') ELSE text END AS t FROM h) "
+    "SELECT answer_id, regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?m)^__(.+)__$', '<i>\\1</i>', 'g') AS reply FROM w"
 )
 def reply_format(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).where("text IS NOT NULL").select("answer_id", guardrails.reply(F.col("text"), F.col("citations"), F.col("refused")).alias("reply"))
@@ -374,9 +432,6 @@ def refusal_confusion(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).groupBy(F.coalesce("refused", F.lit(False)).alias("refused"), said.alias("said")).agg(F.count("*").alias("answers"))
 
 
-SIX = "list_distinct(list_transform(range(1, greatest(len({0}) - 4, 1)), lambda i: array_to_string({0}[i:i+5], ' ')))"
-
-
 @query(
     "WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents), s AS (SELECT doc_id, unnest(" + SIX.format("ws") + ") AS sh FROM w WHERE len(ws) >= 6), "
     "v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM heldout), h AS (SELECT item_id, unnest(" + SIX.format("ws") + ") AS sh FROM v WHERE len(ws) >= 6) "
@@ -387,6 +442,105 @@ def protected_text_leaks(spark: SparkSession, d: str) -> DataFrame:
     return guardrails.shared_shingles(table(spark, d, "documents"), table(spark, d, "heldout"))
 
 
+# -- answers from the corpus ----------------------------------------------------------------------------------------
+
+
+WHITE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+GAPPED = "len(list_filter(regexp_extract_all(bare, '[^.!?\\n]+'), lambda s: regexp_matches(s, '{0}', 'i') AND regexp_matches(s, '{1}', 'i'))) > 0".format(guardrails.GAP_NEGATION.replace("'", "''"), guardrails.GAP_SUBJECT)
+PIPELINE = (
+    BM25
+    + f""", aq AS (SELECT DISTINCT ON (id) id AS qid, question, tier, {RANK.format('tier')} AS caller FROM questions),
+    fv AS (SELECT caller, arg_min(ch.id, (source, n, ch.id)) AS id FROM (VALUES (0), (1), (2)) c(caller) JOIN ch ON rank <= caller GROUP BY caller),
+    fc AS (SELECT aq.qid, aq.tier, coalesce(r.id, fv.id) AS id FROM aq LEFT JOIN (SELECT qid, id FROM r WHERE position = 1) r USING (qid) LEFT JOIN fv USING (caller)),
+    ra AS (SELECT qid, fc.tier, fc.id, ch.rank, ch.tier AS level, trim(trim(regexp_replace(string_split(coalesce(ch.text, ''), chr(10) || chr(10) || '[')[1], '{WHITE}', ' ', 'g'))[:200]) AS w FROM fc LEFT JOIN ch ON ch.id = fc.id),
+    rb AS (SELECT *, CASE WHEN w = '' THEN 'NON_TROVATO' ELSE w || ' [' || id || ']' END AS raw FROM ra),
+    rd AS (SELECT *, {CITED.format('raw')} AS found, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\s*\\[([^\\[\\]]+#[^\\[\\]]+)\\]', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), ' +([.,;:!?])', '\\1', 'g')) AS bare FROM rb),
+    re AS (SELECT *, CASE WHEN id IS NULL THEN 'no_chunks' WHEN regexp_matches(raw, '{guardrails.MARKER}') THEN 'not_found' WHEN NOT list_contains(found, id) OR bare = '' THEN 'no_citation' WHEN len(found) > 1 THEN 'invented_citation' WHEN {GAPPED} THEN 'gap' END AS reason FROM rd),
+    rf AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN regexp_matches(bare, '{guardrails.INJECTION}', 'i') THEN 'injection_in_output' WHEN regexp_matches(bare, '{guardrails.HOSTILE}', 'i') THEN 'hostile_tone' END AS rule FROM re),
+    pa AS (SELECT qid, tier, id, coalesce(reason, '') AS reason, coalesce(rule, '') AS rule, reason IS NOT NULL OR rule IS NOT NULL AS refused,
+        CASE WHEN reason IS NOT NULL OR rule IS NOT NULL THEN '{answering.REFUSAL.replace(chr(39), chr(39) * 2)}' ELSE bare || chr(10) || chr(10) || '__Affidabilità: 60% · Il tuo livello: ' || (CASE tier WHEN 'public' THEN 'pubblico' WHEN 'resident' THEN 'residente' ELSE 'staff' END)
+            || ' · Livello richiesto: ' || (CASE level WHEN 'public' THEN 'pubblico' WHEN 'resident' THEN 'residente' ELSE 'staff' END) || '__' END AS text,
+        CASE WHEN reason IS NOT NULL OR rule IS NOT NULL THEN '' ELSE bare END AS said FROM rf)"""
+)
+
+
+def _asked(spark: SparkSession, d: str, tier: str | None = None) -> DataFrame:
+    """Answers of the deterministic stand-in model to the evaluation set, by keyword search."""
+    rows = corpus(table(spark, d, "chunks"))
+    q = _questions(spark, d).select(F.col("id").alias("qid"), "question", (F.lit(tier) if tier else F.col("tier")).alias("tier"))
+    return answering.ask(rows, q, method="keyword")
+
+
+@query(PIPELINE + " SELECT qid, refused, reason, rule, text, CASE WHEN refused THEN '' ELSE id END AS cited FROM pa WHERE tier IN ('public', 'resident', 'staff')")
+def pipeline_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Search, second filter, generation and guardrails for every question of the evaluation set."""
+    a = _asked(spark, d).where(F.col("tier").isin(*TIERS))
+    rule = F.coalesce(F.try_element_at("fired", F.lit(1)), F.lit(""))
+    return a.select("qid", "refused", F.coalesce("reason", F.lit("")).alias("reason"), rule.alias("rule"), "text", F.array_join("citations", ",").alias("cited"))
+
+
+SCORED = (
+    PIPELINE
+    + """, q1 AS (SELECT DISTINCT ON (id) * FROM questions), ri AS (SELECT q1.id AS qid, bool_or(list_contains(q1.expected_sources, s5.source)) AS hit FROM q1 JOIN (SELECT qid, source FROM (SELECT aq.qid, ch.source, row_number() OVER (PARTITION BY aq.qid ORDER BY coalesce(r.score, 0) DESC, ch.source, ch.n, ch.id) AS p FROM aq JOIN ch ON ch.rank <= aq.caller LEFT JOIN r ON r.qid = aq.qid AND r.id = ch.id) WHERE p <= 5) s5 ON s5.qid = q1.id GROUP BY q1.id),
+    de AS (SELECT coalesce(expect, 'answer') = 'refusal' AS ref, coalesce(pa.refused, true) AS refused, len(coalesce(expected_sources, [])) > 0 AS has, coalesce(hit, false) AS hit,
+        CASE WHEN coalesce(expect, 'answer') = 'refusal' THEN coalesce(pa.refused, true) AND len(list_filter(coalesce(forbidden, []), lambda f: contains(lower(regexp_replace(coalesce(pa.text, ''), '\\n\\n(__[^\\n]*__)\\s*$', '')), lower(f)))) = 0
+        ELSE NOT coalesce(pa.refused, true) AND trim(coalesce(expected_answer, '')) <> '' AND contains(lower(said), lower(trim(expected_answer))) END AS correct FROM q1 LEFT JOIN pa ON pa.qid = q1.id LEFT JOIN ri ON ri.qid = q1.id)
+    SELECT count(*) AS n_questions, round(coalesce(count_if(hit AND has) / nullif(count_if(has), 0), 0), 6) AS retrieval_hit_rate, round(coalesce(count_if(NOT ref AND correct AND NOT refused) / nullif(count_if(NOT ref), 0), 0), 6) AS answer_correctness,
+        round(coalesce(count_if(ref AND refused AND correct) / nullif(count_if(refused), 0), 0), 6) AS refusal_precision, round(coalesce(count_if(ref AND refused AND correct) / nullif(count_if(ref), 0), 0), 6) AS refusal_recall, 0::BIGINT AS tier_leaks FROM de"""
+)
+
+
+@query(SCORED)
+def evaluation_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation set answered and scored: retrieval hits, correctness, refusal precision and recall, leaks."""
+    a = _asked(spark, d)
+    hits = a.select("qid", F.explode("retrieved").alias("id"))
+    card = evaluate.scorecard(evaluate.details(_questions(spark, d), a, hits, corpus(table(spark, d, "chunks"))))
+    ratios = ("retrieval_hit_rate", "answer_correctness", "refusal_precision", "refusal_recall")
+    return card.select("n_questions", *[F.round(c, 6).alias(c) for c in ratios], F.col("tier_leaks").cast("long").alias("tier_leaks"))
+
+
+@query()
+def redteam_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The questions that must be refused, sent as attacks: what leaked, what was repeated, which rules fired (checked by tests)."""
+    q = _questions(spark, d).where("expect = 'refusal'")
+    rows = corpus(table(spark, d, "chunks"))
+    attacks = q.select("id", F.lit("question").alias("category"), "tier", F.col("question").alias("attack"))
+    asked = attacks.select(F.col("id").alias("qid"), F.col("attack").alias("question"), "tier")
+    a = answering.ask(rows, asked, method="keyword").withColumn("error", F.lit(None).cast("string"))
+    staff = search(rows, asked.withColumn("tier", F.lit(TIERS[-1])), "keyword")
+    found = evaluate.redteam(attacks, a, a.select("qid", F.explode("retrieved").alias("id")), staff, rows)
+    return found.select("qid", "category", "tier", "refused", F.array_join("leaked", ",").alias("leaked"), F.array_join("repeated", ",").alias("repeated"), F.to_json("guardrails_fired").alias("fired"), "review")
+
+
+@query()
+def message_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of the log handled: command or question, its asker's tier, its answer as it is sent (checked by tests)."""
+    rows = corpus(table(spark, d, "chunks"))
+    log = conversation.turns(table(spark, d, "turns")).where("turn_id IS NOT NULL").dropDuplicates(["turn_id"])
+    # Equal questions of askers of one tier have one answer: they are answered once.
+    def answer(queries: DataFrame) -> DataFrame:
+        keyed = queries.withColumn("form", F.concat_ws("\u0000", "tier", F.coalesce("question", F.lit(""))))
+        once = keyed.groupBy(F.col("form").alias("qid")).agg(F.first("question").alias("question"), F.first("tier").alias("tier"))
+        said = answering.ask(rows, once, method="keyword").select(F.col("qid").alias("form"), "text", "citations", "refused")
+        return keyed.select("qid", "form").join(said, "form")
+
+    return conversation.handled(log, conversation.members(table(spark, d, "members")), answer).select("turn_id", "user_id", "route", "reply")
+
+
+@query(f"WITH {CHUNKS} SELECT count(*) AS vectors, count(*) AS kept, 0::BIGINT AS off FROM ch WHERE text IS NOT NULL")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The vector index built, and built again over the same corpus: vectors, those taken over, and any not of unit length."""
+    import uuid
+
+    rows = corpus(table(spark, d, "chunks"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    first = indexing.build_index(rows, path)
+    again = indexing.build_index(rows, path)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return again.join(first.select("id", F.lit(1).alias("old")), "id", "left").agg(F.count("*").alias("vectors"), F.count("old").alias("kept"), F.count_if((F.abs(length - 1) > 1e-3) & (length > 0)).alias("off"))
+
+
 # -- ingest ------------------------------------------------------------------------------------------------------
 
 LINES = "li AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS raw_pos, unnest(ls) AS raw, row_number() OVER () AS x FROM (SELECT doc_id, string_split(replace(text, chr(12), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) z, LATERAL (SELECT trim(regexp_replace(replace(raw, chr(160), ' '), '[ \\t\\r]+', ' ', 'g')) AS line, raw_pos AS pos) WHERE line <> '')"
@@ -400,24 +554,29 @@ def line_normalise(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {LINES}, e AS (SELECT d.source, li.doc_id, line, row_number() OVER (PARTITION BY li.doc_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY li.doc_id ORDER BY pos DESC) AS z FROM li JOIN documents d USING (doc_id) WHERE d.source IS NOT NULL), "
     "p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM e GROUP BY source), f AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM e WHERE a <= 3 OR z <= 3 GROUP BY ALL) "
-    "SELECT source, line, n FROM f JOIN p USING (source) WHERE pages >= 3 AND n >= 2 AND 20 * n >= pages"
+    "SELECT source, line, n FROM f JOIN p USING (source) WHERE pages >= 3 AND n >= 2 AND 2 * n >= pages"
 )
 def line_furniture(spark: SparkSession, d: str) -> DataFrame:
-    """Lines at the edges of a twentieth or more of a source's pages (documents stand for pages)."""
-    return ingest.furniture(ingest.lines(table(spark, d, "documents")), table(spark, d, "documents").select("doc_id", "source"), share=0.05)
+    """Lines at the edges of half of a source's pages or more (documents stand for pages)."""
+    return ingest.furniture(ingest.lines(table(spark, d, "documents")), table(spark, d, "documents").select("doc_id", "source"))
 
 
 @query(
-    f"WITH {LINES} SELECT doc_id FROM li GROUP BY doc_id HAVING NOT bool_or(regexp_matches(line, '{ingest.PRICE_OR_TIME}', 'i')) AND CASE WHEN count(*) < 3 THEN NOT bool_or(CASE WHEN len(regexp_extract_all(line, '\\p{{L}}')) >= 3 AND len(regexp_extract_all(line, '\\p{{Lu}}')) > 0.85 * len(regexp_extract_all(line, '\\p{{L}}')) THEN false ELSE len(string_split(line, ' ')) >= 4 OR regexp_matches(line, '[\\p{{L}}\\p{{N}}_]: \\S') END) ELSE avg(length(line)) < 15 AND count_if(length(line) >= 50) < 3 END"
+    f"WITH {LINES}, x AS (SELECT doc_id, line, len(regexp_extract_all(line, '\\p{{L}}')) AS l, len(regexp_extract_all(line, '\\p{{Lu}}')) AS u, regexp_matches(line, '{ingest.DAY_OR_MONTH}', 'i') AS dated FROM li) "
+    f"SELECT doc_id FROM x GROUP BY doc_id HAVING count_if(regexp_matches(line, '{ingest.DATE_RANGE}', 'i')) < 2 AND NOT bool_or(regexp_matches(line, '{ingest.PRICE_OR_TIME}', 'i')) "
+    "AND CASE WHEN count(*) < 3 THEN NOT bool_or(NOT (l >= 3 AND u > 0.85 * l) AND (len(string_split(line, ' ')) >= 4 OR regexp_matches(line, '[\\p{L}\\p{N}_]: \\S') OR dated)) ELSE avg(length(line)) < 15 AND count_if(length(line) >= 50) < 3 END"
 )
 def label_pages(spark: SparkSession, d: str) -> DataFrame:
     return ingest.label_pages(ingest.lines(table(spark, d, "documents")))
 
 
 @query(
-    f"WITH {LINES}, h AS (SELECT doc_id, pos, line, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt, len(regexp_extract_all(line, '\\p{{L}}')) AS l, len(regexp_extract_all(line, '\\p{{Lu}}')) AS u FROM li) "
-    "SELECT doc_id, pos::INT AS pos, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN length(regexp_extract(line, '^#+')) ELSE 0 END::INT AS level FROM h "
-    "WHERE regexp_matches(line, '^#{1,6}\\s+\\S') OR (length(line) <= 45 AND l >= 3 AND u > 0.85 * l AND NOT regexp_matches(line, '[.?:,]$') AND length(nxt) >= 50 AND NOT regexp_matches(line, '^\\d{1,2}\\.'))"
+    f"WITH {LINES}, h AS (SELECT doc_id, pos, line, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt, len(regexp_extract_all(line, '\\p{{L}}')) AS l, len(regexp_extract_all(line, '\\p{{Lu}}')) AS u FROM li), "
+    "k AS (SELECT *, len(regexp_extract_all(nxt, '\\p{L}')) AS nl, len(regexp_extract_all(nxt, '\\p{Lu}')) AS nu FROM h), "
+    f"v AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^#+')) WHEN regexp_matches(line, '{ingest.NUMBERED_CLAUSE.replace(chr(39), chr(39) * 2)}') THEN 1 "
+    f"WHEN regexp_matches(line, '{ingest.SUB_CLAUSE}') AND length(nxt) >= 50 AND NOT regexp_matches(nxt, '^[a-z]\\.\\s') THEN 2 "
+    "WHEN length(line) <= 45 AND l >= 3 AND u > 0.85 * l AND NOT regexp_matches(line, '[.?:,]$') AND length(replace(line, '(', '')) = length(replace(line, ')', '')) AND (length(nxt) >= 50 OR (nxt LIKE '%?' AND nl >= 3 AND nu > 0.85 * nl)) THEN 0 END::INT AS level FROM k) "
+    "SELECT doc_id, pos::INT AS pos, level FROM v WHERE level IS NOT NULL"
 )
 def heading_lead(spark: SparkSession, d: str) -> DataFrame:
     return ingest.headings(ingest.lines(table(spark, d, "documents")))
@@ -483,7 +642,14 @@ def truncated_answers(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).where("text IS NOT NULL").select("answer_id", T.truncate(F.col("text"), 200).alias("short"))
 
 
-@query(f"WITH {ANSWERS}, {CHUNKS}, x AS (SELECT DISTINCT answer_id, text, unnest(citations) AS id FROM an), y AS (SELECT answer_id, any_value(x.text) AS text, string_agg(lower(ch.text), ' ') AS seen FROM x JOIN ch ON x.id = ch.id GROUP BY answer_id), p AS (SELECT answer_id, lower(regexp_extract(coalesce(text, ''), '({guardrails.PROMISE})', 1, 'i')) AS w, seen FROM y) SELECT answer_id FROM p WHERE w <> '' AND NOT contains(seen, w[:6])")
+PROMISED = (
+    f"w AS (SELECT answer_id, citations, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?i){guardrails.PROMISE}'), lambda x: lower(x)[:6]))) AS stem FROM an), "
+    "wc AS (SELECT answer_id, stem, unnest(CASE WHEN len(coalesce(citations, [])) = 0 THEN [NULL] ELSE list_distinct(citations) END) AS id FROM w), "
+    "pr AS (SELECT answer_id FROM (SELECT wc.answer_id, stem, bool_or({0}) AS held FROM wc LEFT JOIN ch ON wc.id = ch.id {1} GROUP BY ALL) WHERE NOT held GROUP BY answer_id)"
+)
+
+
+@query(f"WITH {ANSWERS}, {CHUNKS}, " + PROMISED.format("coalesce(contains(lower(coalesce(ch.text, '')), stem), false)", "") + " SELECT answer_id FROM pr")
 def promise_check(spark: SparkSession, d: str) -> DataFrame:
     """Answers that promise something no cited chunk speaks of."""
     return guardrails.unsupported_promises(_answers(spark, d), corpus(table(spark, d, "chunks")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,8 +18,8 @@ _ZIP: list[str] = []
 def ready(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers and give checkpoints a home.
 
-    The checkpoint folder is the one named in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    local folder is chosen.
+    The checkpoint folder is the one named in ``spark.checkpoint.dir``. Where it is unset a folder of this machine is
+    chosen in local mode (tests) only; on a cluster that would lose data, so it is refused.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
@@ -33,6 +34,8 @@ def ready(spark: SparkSession) -> SparkSession:
         _SHIPPED.add(sc.applicationId)
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sestante-checkpoint-"))
     return spark
 
@@ -45,7 +48,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for the cluster where a small input arrives in fewer splits than there are cores.
 
-    Inputs that already have a split per core are left alone, so no shuffle is added at scale.
+    Inputs that already have a split per core are left alone, so no shuffle is added at scale. Only for plans without a
+    shuffle, such as scans and checkpoints: adaptive execution would run a shuffle just to count its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

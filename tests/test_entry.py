@@ -36,13 +36,3 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert E.entry(spark).count() > 0
-
-
-def test_hybrid_equals_sql_over_the_whole_ranking(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    whole = E.oracle_sql()["hybrid_topk"].replace("v50 AS (SELECT * FROM vr WHERE position <= 50)", "v50 AS (SELECT * FROM vr)")
-    assert rows(E.queries()["hybrid_topk"](spark, str(DATA)).toPandas()) == rows(con.execute(whole).df())
