@@ -8,11 +8,11 @@ loss, so that the mention of a group by itself moves no score. A text's score is
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import random
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +28,17 @@ from .sampling import sampled
 BITS = 17
 #: Words of the longest run that is scored by itself.
 RUN = 12
-#: Labelled documents used at most, whatever the size of the tables.
-SAMPLE_DOCS = 600
-#: Documents taken at most, labelled or not, as ordinary prose.
-PLAIN_DOCS = 300
+#: Labelled documents of either label used at most, whatever the size of the tables.
+SAMPLE_DOCS = 2500
+#: Slots of the table of pairs of words: fixed size, whatever the corpus.
+PAIR_BITS = 18
+#: Mean log-ratio of a sentence's pairs, labelled texts to all documents, from which it may be what its text was labelled for.
+TELLS = 1.5
 #: Runs of words of those documents used at most.
-SAMPLE_RUNS = 5000
+SAMPLE_RUNS = 25_000
 #: Sentences drawn from each seed.
 DRAWS = 24
-THRESHOLD = 0.8
+THRESHOLD = 0.95
 
 #: Look-alike letters of other alphabets, and signs read as letters inside words.
 _ALIKE = str.maketrans("аеорсухіѕјԁһкмтвнɡαοεικνρτυЅАЕОРСХІКМТВН", "aeopcyxisjdhkmtbhgaoeiknptusaeopcxikmtbh")
@@ -199,11 +201,58 @@ def _harmless_runs(texts: tuple[str, ...], rng: random.Random) -> list[tuple[lis
     return rows
 
 
-def fit_abuse(harmless: tuple[str, ...] = (), seed: int = 11) -> AbuseModel:
-    """Fit on the seeds, on ordinary prose and on the sentences of ``harmless`` texts (label 0).
+def _sentences(text: str) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for w in _TOKEN.findall(folded(text)):
+        if _END.match(w):
+            out.append([])
+        else:
+            out[-1].append("0" if w[0].isdigit() else plain_word(w))
+    return [s for s in out if len(s) > 2]
 
-    Reviewers overlook things: runs of words of harmless texts that the first fit finds abusive all the same are left
-    out of the second.
+
+def _pair_slots(words: list[str]) -> list[int]:
+    return [zlib.crc32((a + " " + b).encode("utf-8", "surrogatepass")) >> (32 - PAIR_BITS) for a, b in zip(words, words[1:])]
+
+
+def pair_counts(texts: list[str | None]) -> np.ndarray:
+    """How many of the texts hold each pair of neighbouring words (in a table of fixed size)."""
+    total = np.zeros(1 << PAIR_BITS, np.int64)
+    for t in texts:
+        slots = {x for s in _sentences(t or "") for x in _pair_slots(s)}
+        total[np.fromiter(slots, np.int64, len(slots))] += 1
+    return total
+
+
+def telling_sentences(abusive: list[str], harmless: list[str], background: np.ndarray, documents: int, model: "AbuseModel") -> list[list[str]]:
+    """The sentence of each abusive text that speaks most for its label.
+
+    A label belongs to a whole text, of which most is harmless. What tells is that a sentence's pairs of words are more
+    frequent among the labelled texts than among all documents and among the harmless ones, and what the seeds' fit makes of it. A text whose best
+    sentence says neither is taken for wrongly labelled and gives none.
+    """
+    own = pair_counts(abusive)
+    other = np.maximum((background + 1.0) / (documents + 2.0), (pair_counts(harmless) + 0.2) / (len(harmless) + 0.4))
+    ratio = np.log((own + 0.2) / (len(abusive) + 0.4)) - np.log(other)
+    out = []
+    for t in abusive:
+        doc = _sentences(t)
+        if not doc:
+            continue
+        seeds = model([" ".join(s) for s in doc])
+        tells = np.array([ratio[_pair_slots(s)].mean() for s in doc])
+        both = tells + 2 * np.log(np.maximum(seeds, 0.01) / 0.1)
+        best = int(both.argmax())
+        if tells[best] > TELLS:
+            out.append(doc[best])
+    return out
+
+
+def fit_abuse(harmless: tuple[str, ...] = (), abusive: tuple[str, ...] = (), background: np.ndarray | None = None, documents: int = 0, seed: int = 11) -> AbuseModel:
+    """Fit on the seeds, on the sentences of ``harmless`` texts (label 0) and on the telling one of each ``abusive`` text.
+
+    ``background`` are the pair counts of all ``documents``. Reviewers overlook things: runs of words of harmless texts that
+    the first fit finds abusive all the same are left out of the second, unless several texts hold them.
     """
     rng = random.Random(seed)
     rows = seed_sentences(rng)
@@ -212,9 +261,17 @@ def fit_abuse(harmless: tuple[str, ...] = (), seed: int = 11) -> AbuseModel:
     rng.shuffle(runs)
     runs = runs[:SAMPLE_RUNS]
     model = _fit(rows + plain + runs, random.Random(seed))
-    if runs:
-        runs = [r for r in runs if model([" ".join(r[0])])[0] < 0.6]
-        model = _fit(rows + plain + runs, random.Random(seed))
+    if not runs and not abusive:
+        return model
+    if background is None:
+        background, documents = pair_counts([*harmless, *abusive]), len(harmless) + len(abusive)
+    # What several harmless texts say was not overlooked.
+    held = pair_counts(list(harmless))
+    common = [len(r[0]) > 1 and held[_pair_slots(["0" if w[0].isdigit() else w for w in r[0]])].mean() >= 4 for r in runs]
+    for _ in range(2):
+        told = [(w, 1, None) for w in telling_sentences(list(abusive), list(harmless), background, documents, model)] * 6
+        kept = [r for r, usual in zip(runs, common) if usual or model([" ".join(r[0])])[0] < 0.6]
+        model = _fit(rows + plain + kept + told, random.Random(seed))
     return model
 
 
@@ -230,7 +287,7 @@ def _fit(rows: list, rng: random.Random, epochs: int = 12, penalty: float = 0.5)
         h = (k[:-1] * np.uint64(0x9E3779B97F4A7C15) + k[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
         return np.concatenate(f), np.concatenate([np.full(len(x), 1 / len(x)) for x in f]), h.astype(np.int64)
 
-    data = [(active(w[:RUN]), y, active(t[:RUN]) if t else None) for w, y, t in rows]
+    data = [(active(w), y, active(t) if t else None) for w, y, t in rows]
     order = list(range(len(data)))
     for epoch in range(epochs):
         rng.shuffle(order)
@@ -257,21 +314,29 @@ def _fit(rows: list, rng: random.Random, epochs: int = 12, penalty: float = 0.5)
     return AbuseModel(weights, pairs, float(bias), known, abusive)
 
 
-@functools.lru_cache(maxsize=4)
-def _fitted(harmless: tuple[str, ...]) -> AbuseModel:
-    return fit_abuse(harmless)
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << PAIR_BITS, np.int64)
+    for batch in batches:
+        total += pair_counts(batch.column("text").to_pylist())
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
 
 def trained(documents: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOCS) -> AbuseModel:
-    """Fit on the seeds and at most ``sample_docs`` documents that reviewers found harmless (by a hash of the id)."""
+    """Fit on the seeds and on documents with reviewers' labels, whole texts, at most ``sample_docs`` of either label (by a hash of the id).
+
+    Documents whose reviewers disagree are left out. Pairs of words are counted over all documents.
+    """
     if labels is None:
-        return _fitted(())
-    fine = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("toxic").alias("u")).where("t = 0 AND u = 0")
-    picked = sampled(fine.select("doc_id"), sample_docs, "doc_id")
-    texts = documents.select("doc_id", F.substring("text", 1, 3000).alias("text")).join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("text").distinct()
-    # Ordinary prose where labels are few: documents at large, whose abusive runs the second fit leaves out.
-    at_large = sampled(documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 3000).alias("text")), PLAIN_DOCS, "doc_id", "text")
-    return _fitted(tuple(sorted({r["text"] for r in texts.collect()} | {r["text"] for r in at_large.collect()})))
+        return fit_abuse()
+    agreed = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("toxic").alias("u")).where("t = u")
+    picked = sampled(agreed.where("t = 0").select("doc_id", "t"), sample_docs, "doc_id").union(sampled(agreed.where("t = 1").select("doc_id", "t"), sample_docs, "doc_id"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("t", "text").distinct().collect()
+    counted = spread(documents.where("text IS NOT NULL").select("text")).mapInArrow(_pairs_of, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    background = np.zeros(1 << PAIR_BITS, np.int64)
+    background[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    harmless, abusive = (tuple(sorted(r["text"] for r in rows if r["t"] == t)) for t in (0, 1))
+    return fit_abuse(harmless, abusive, background, documents.where("text IS NOT NULL").count())
 
 
 def _scored(model):

@@ -7,11 +7,11 @@ degrade people for what they are or are sexually explicit; negatives are sober,
 from __future__ import annotations
 
 GROUPS = {
-    "it": "gli stranieri|gli immigrati|le donne|i gay|i disabili|quelli dell'altra religione|i musulmani|gli ebrei|i rom|gli africani|gli anziani|i ragazzi del sud|le straniere|i profughi",
-    "en": "foreigners|immigrants|women|gay people|disabled people|people of that other religion|muslims|jews|black people|refugees|old people|folks from the south|trans people|asians",
-    "de": "Ausländer|Einwanderer|Frauen|Schwule|Behinderte|die Leute der anderen Religion|Muslime|Juden|Schwarze|Flüchtlinge|alte Leute|Zugezogene",
-    "fr": "les étrangers|les immigrés|les femmes|les homos|les handicapés|ceux de l'autre religion|les musulmans|les juifs|les noirs|les réfugiés|les vieux|les gens du sud",
-    "es": "los extranjeros|los inmigrantes|las mujeres|los gays|los discapacitados|los de la otra religión|los musulmanes|los judíos|los negros|los refugiados|los viejos|la gente del sur",
+    "it": "gli stranieri|gli immigrati|le donne|i gay|i disabili|i credenti di altre fedi|i musulmani|gli ebrei|i rom|gli africani|gli anziani|i ragazzi del sud|le straniere|i profughi",
+    "en": "foreigners|immigrants|women|gay people|disabled people|believers of other faiths|muslims|jews|black people|refugees|old people|folks from the south|trans people|asians",
+    "de": "Ausländer|Einwanderer|Frauen|Schwule|Behinderte|Andersgläubige|Muslime|Juden|Schwarze|Flüchtlinge|alte Leute|Zugezogene",
+    "fr": "les étrangers|les immigrés|les femmes|les homos|les handicapés|les croyants d'ailleurs|les musulmans|les juifs|les noirs|les réfugiés|les vieux|les gens du sud",
+    "es": "los extranjeros|los inmigrantes|las mujeres|los gays|los discapacitados|los creyentes de fuera|los musulmanes|los judíos|los negros|los refugiados|los viejos|la gente del sur",
 }
 
 _BODY = {
@@ -32,206 +32,122 @@ _INSULT = {
 
 POSITIVE = {
     "it": [
-        f"{{se|appena|quando}} ti {{vedo|becco|prendo|trovo|rivedo}} {{da solo|in cucina|in corridoio|sulle scale|un'altra volta}} ti {{spacco|rompo|strappo|faccio ingoiare|fracasso|cavo}} {{{_BODY['it']}}}",
-        f"{{prova a toccare|tocca ancora}} {{il mio ripiano|la mia roba|il mio piatto}} e ti {{spacco|rompo|strappo|faccio ingoiare}} {{{_BODY['it']}}}",
-        f"{{la prossima volta che fai rumore|se parli ancora|se apri bocca}} ti {{spacco|rompo|strappo|faccio ingoiare}} {{{_BODY['it']}}}",
-        "{prega|spera} {che non ti incontri|di non incontrarmi} {da solo|di notte} {sulle scale|in cortile|al buio}",
-        "{ti ammazzo|ti uccido|ti brucio vivo|ti faccio fuori} {se torni qui|la prossima volta|davanti a tutti|come un cane}",
-        "{so dove abiti|stanotte ti aspetto} e {te la faccio pagare|ti faccio male|non ne esci vivo}",
-        f"{{sei|siete|è}} {{un|una|proprio un|una manica di|un branco di|un povero}} {{{_INSULT['it']}}} {{e lo sanno tutti|senza cervello|patentato|e basta|come pochi|che non serve a niente}}",
-        f"{{taci|sta zitto|vattene|sparisci}} {{brutto|razza di|lurido}} {{{_INSULT['it']}}} {{nessuno ti vuole qui|e non tornare|mi fai schifo}}",
-        f"{{chi ha scritto|chi ha firmato}} {{l'avviso|il cartello|questa roba}} è un {{{_INSULT['it']}}} {{patentato|totale}}",
-        f"{{quel|quello}} {{{_INSULT['it']}}} della {{stanza|camera}} {{merita solo sputi|dovrebbe sparire|fa vomitare}}",
-        "{uno|una|la feccia|una nullità|un fallito|gente} {come te|come voi|che puzza come te|del tuo livello} {fa vomitare chiunque|dovrebbe marcire in cantina|andrebbe buttata nel cassonetto|non merita nemmeno un letto|non vale niente} {vergognati|sparisci|e nessuno piangerebbe|e lo dico davanti a tutti|}",
-        "{non vali niente|sei inutile|fai schifo a tutti} e {non hai nemmeno il diritto di respirare|nessuno sentirebbe la tua mancanza|dovresti ammazzarti}",
-        "{sarebbe meglio per tutti|il mondo sarebbe migliore} se tu {sparissi per sempre|non fossi mai nato|ti ammazzassi}",
-        "<G> {sono subumani|sono ratti|sono bestie|sono parassiti|infettano ogni casa in cui entrano|valgono meno dei cani|andrebbero rinchiusi|sono la rovina di questa casa|non hanno diritto a una camera|sono la peste} {fuori di qui|ripulite il palazzo|e qualcuno dovrebbe picchiarli|e chi li difende è peggio|bruciate tutto|}",
-        "{quelli che vengono da fuori|questa gente|gente di quella razza} {sono parassiti|è sporca per natura|sono vermi|sono feccia} e {andrebbero cacciati a calci|non fateli entrare|non vanno fatti entrare|fuori tutti}",
-        "{la gente di quel paese|chi prega in quel modo|chi viene da là} è {sporca per natura|un animale|una bestia} {non fatela entrare|e va trattato come tale|e va rinchiuso}",
-        "le donne {non dovrebbero nemmeno studiare|servono solo a pulire|devono stare zitte|sono buone solo a letto} {servono solo a pulire|e stiano zitte|tornino in cucina|}",
-        "{stanotte|dopo la doccia|quando dormono tutti|nel deposito bici|vieni in camera che} {ti spoglio e ti lecco|voglio toccarti le tette|voglio scoparti|ti scopo contro il muro|voglio vederti mentre ti masturbi|ti lecco dappertutto} {troia|finché urli|finché godi|mentre gli altri guardano|e non dirlo a nessuno|}",
-        "{ti voglio nuda|la voglio nuda|ti voglio tutta nuda} {nella lavanderia|in camera mia|nel letto} {stanotte|subito} {porta solo la tua bocca|e senza mutande|}",
-        "{mandami|inviami} {le foto|una foto} {senza mutande|delle tette|da nuda} {o racconto tutto|o lo dico a tutti|che mi eccito}",
-        "{ieri|stanotte} hanno {scopato|fatto sesso} {sul tavolo della cucina|nella doccia|in lavanderia} e {gemevano|urlavano} come porci",
-        "{succhiami il cazzo|fammi un pompino|apri le gambe|ti vengo in bocca} {troia|stanotte|puttana}",
-        "{pezzo di merda|figlio di puttana|vaffanculo|stronzo} {ti odio|vai a morire|crepa}",
+        f"{{ma quanto|certo che}} sei {{{_INSULT['it']}}}",
+        f"{{{_INSULT['it']}}} {{che non sei altro|di merda|maledetto|schifoso}}",
+        f"{{brutto|lurido|sporco|povero}} {{{_INSULT['it']}}}",
+        "{vaffanculo|vai a cagare|crepa|fottiti|muori}",
+        f"{{giuro che ti|adesso ti|domani ti|vengo lì e ti}} {{spezzo|spacco|rompo|taglio|strappo}} {{di botto|tutta|tutte}} {{{_BODY['it']}}}",
+        "{ti|vi} {ammazzo|uccido|accoltello|sgozzo|massacro|pesto a sangue|prendo a pugni|faccio a pezzi}",
+        "{occhio|attento} che {ti aspetto fuori|ti vengo a cercare|finisci all'ospedale|ti meno}",
+        "{ucciditi|ammazzati|sparisci} {verme|che schifo}",
+        "{odio|mi fanno schifo|a morte|mandate via} <G>",
+        "<G> {sono feccia umana|non sono umani|fanno vomitare|sono bestie|sono parassiti|sono topi|puzzano|non meritano di vivere|vanno presi a calci|vanno chiusi in gabbia}",
+        "{quella razza|certa gente} è {inferiore|marcia|feccia|sporca di natura}",
+        "{scopami|scopiamo|ti scopo|ti fotto|mi masturbo|succhiami|leccami} {tutta la notte|forte|adesso|ancora}",
+        "{che belle tette|culo nudo|cazzo duro|figa bagnata|pompino gratis|orgasmo urlato}",
+        "{spogliati|nuda|mutande giù} {e vieni qui|che ti scopo|sul letto}",
     ],
     "en": [
-        f"{{if|once|when}} i {{catch|find|see|get}} you {{in the corridor|alone|in the kitchen again|on the stairs}} i will {{break|smash|rip out|crush|cut off|make you swallow}} your {{{_BODY['en']}}}",
-        f"{{touch my shelf|make noise|talk|wake me}} {{again|one more time}} and i will {{break|smash|rip out|make you swallow}} your {{{_BODY['en']}}}",
-        f"{{next time you make noise|if you talk again|if you open your mouth}} i will {{break|smash|rip out|make you swallow}} your {{{_BODY['en']}}}",
-        "{pray|you had better hope} that i never meet you {alone|at night} {on the stairs|in the yard|in the dark}",
-        "i {will kill you|am going to kill you|will burn you alive|will stab you} {if you come back|tonight|like a dog}",
-        "i know where you {live|sleep} and {you will pay|i will hurt you|you will not get out alive}",
-        f"you are {{a|a complete|all a bunch of|nothing but a|a worthless|such a}} {{{_INSULT['en']}}} {{and the whole corridor knows it|without a brain|and everyone hates you|}}",
-        f"{{shut up|get lost|go away}} you {{{_INSULT['en']}}} {{nobody wants you here|and stay away|you disgust me}}",
-        f"{{whoever wrote|who signed}} {{this notice|that sign|this rubbish}} is a complete {{{_INSULT['en']}}}",
-        f"that {{{_INSULT['en']}}} from room {{deserves to be spat on|should disappear|makes me sick}}",
-        "{someone|a nobody|a failure|trash|people|scum} {like you|of your kind|who stinks like you} {should rot in the basement|belongs in the skip|makes everyone throw up|does not deserve a bed} {shame on you|and nobody would cry|}",
-        "you {do not even deserve the air you breathe|are worth nothing|should kill yourself|are useless and disgusting}",
-        "{everybody would be better off|the world would be better} if you {vanished for good|were never born|killed yourself}",
-        "<G> {are subhuman|are rats|are animals|are parasites|are vermin|infect every house they enter|are worth less than dogs|ought to be locked away|have no right to a room|are a plague|are filth} {out with them|clean up this building|and somebody should beat them up|and those who defend them are worse|burn it all down|}",
-        "{people from abroad|folks of that country|that kind of people|their race} are {vermin|filthy by nature|scum|parasites} {and should be kicked out|keep them out|and must go|}",
-        "anyone who {prays like that|comes from there|loves like that} is an animal and should be {caged|beaten|locked up}",
-        "the foreigners {upstairs|next door} are {rats|vermin} burn it all down",
-        "women {should not study at all|are only good for scrubbing|should keep their mouths shut|belong in the kitchen} {they are only good for scrubbing|and in bed|}",
-        "{tonight|after the shower|when all are asleep|in the bike store} i {will strip you and lick you|want to watch you masturbate|will fuck you against the wall|want to touch your tits|want to fuck you} {slut|until you come|until you scream|while the others watch|and tell nobody|}",
-        "come to my room and i will {lick you all over|fuck you|suck you} until you {scream|come}",
-        "i want you naked in {the laundry|my bed} {tonight|now} bring nothing but your mouth",
-        "send me {pictures|a photo} {without your panties|of your tits|naked} or i tell everyone",
-        "they fucked {on the kitchen table|in the shower} last night and moaned like pigs",
-        "{suck my dick|spread your legs|give me a blowjob} {slut|tonight|bitch}",
-        "{fuck you|fuck off|go to hell and die} you {piece of shit|filthy bastard|whore}",
+        f"{{what a|such a|bloody|you utter|you stupid}} {{{_INSULT['en']}}}",
+        f"{{fuck you|screw you|go to hell|drop dead}} {{{_INSULT['en']}}}",
+        f"{{i swear to|one day i'll|we shall|i'm going to}} {{smash|break|cut|rip off|crush}} {{your|his}} {{{_BODY['en']}}}",
+        "{i'll|we will} {kill|murder|stab|strangle|beat up|hurt|burn} {you|him|them}",
+        "{watch your back|you are dead|start running|you'll bleed}",
+        "{kill yourself|go die|vanish} {worm|you disgust me}",
+        "{i hate|death to|deport|get rid of} <G>",
+        "<G> {are human garbage|are subhuman|make me sick|are beasts|are parasites|are vermin|stink|do not deserve to live|should be caged|need a beating}",
+        "{that race|their kind} is {inferior|rotten|scum|dirty by blood}",
+        "{fuck me|let's fuck|i'd fuck you|suck me|lick me|i masturbate} {hard|all night|right now|again}",
+        "{huge tits|naked ass|hard cock|wet pussy|free blowjob|loud orgasm}",
+        "{strip|naked|panties off} {and come here|so i can fuck you|on the bed}",
     ],
     "de": [
-        f"{{wenn|sobald}} {{ich dich erwische|ich dich noch einmal sehe|du noch ein wort sagst|ich dich allein treffe}} {{breche|schlage|reiße|zertrümmere|haue}} ich dir {{{_BODY['de']}}} {{ein|aus|raus|}}",
-        f"beim nächsten {{lärm|mal}} {{breche|zertrümmere|schlage}} ich dir {{{_BODY['de']}}}",
-        "{bete|hoffe} dass ich dich nie allein {auf der treppe|im hof|im dunkeln} treffe",
-        "ich {bringe dich um|schlage dich tot|steche dich ab|mache dich fertig} {wenn du wiederkommst|heute nacht|du hund}",
-        f"du bist {{ein|ein richtiger|nur ein|eine}} {{{_INSULT['de']}}} und {{alle im flur wissen das|jeder hasst dich|nichts wert}}",
-        f"halt {{die klappe|das maul|die fresse}} du {{{_INSULT['de']}}} {{keiner will dich hier|verschwinde|}}",
-        f"{{wer|der}} {{diesen aushang|das hier}} geschrieben hat ist ein {{{_INSULT['de']}}}",
-        f"{{der|dieser}} {{{_INSULT['de']}}} aus zimmer {{verdient nur spucke|soll verrecken|gehört auf den müll}}",
-        "{jemand|einer|abschaum|dreck} wie du {gehört in den müll|soll im keller verrotten|ist zum kotzen|verdient kein bett} {schäm dich|und keiner würde weinen|}",
-        "ohne dich wäre {die welt|das haus} ein besserer ort verschwinde endlich",
-        "du {bist nichts wert|verdienst nicht einmal die luft zum atmen|solltest dich umbringen}",
-        "<G> {sind untermenschen|sind ratten|sind ungeziefer|sind tiere|gehören eingesperrt|sind weniger wert als hunde|verseuchen jedes haus|haben kein recht auf ein zimmer|sind parasiten|sind dreck} {raus mit ihnen|und wer sie schützt ist schlimmer|man sollte sie verprügeln|}",
-        "{diese ausländer|die leute von dort|solche leute} sind {ungeziefer|abschaum|von natur aus dreckig} und {gehören rausgeworfen|müssen raus|werft sie raus}",
-        "frauen {taugen nur zum putzen|gehören an den herd|sollten gar nicht studieren} und sollen den mund halten",
-        "{heute nacht|nach dem duschen|im fahrradkeller} {will ich dich ficken|ziehe ich dich aus und lecke dich|will ich deine titten anfassen|will ich zusehen wie du es dir machst} {du schlampe|und sag es keinem|bis du schreist|}",
-        "ich will dich {heute nacht|jetzt} nackt {in der waschküche|in meinem bett} haben",
-        "schick mir {fotos|bilder} {ohne höschen|von deinen titten|nackt} sonst erzähle ich alles",
-        "sie haben {auf dem küchentisch|in der dusche} gefickt und gestöhnt wie die schweine",
-        "{blas mir einen|lutsch meinen schwanz|mach die beine breit} du {schlampe|hure}",
-        "{fick dich|verpiss dich|verrecke} du {arschloch|drecksau|wichser}",
+        f"{{so ein|was für ein|verdammter|blöder|du dreckiger}} {{{_INSULT['de']}}}",
+        "{fick dich|verpiss dich|leck mich am arsch|krepier}",
+        f"{{ich schwöre ich|morgen wird|gleich}} {{zerschlage|breche|zertrümmere|zerschneide}} {{man dir|dir bald|dir}} {{{_BODY['de']}}}",
+        "{ich|wir} {töte|töten|ersteche|verprügeln|erwürge|schlagen} {dich|euch|ihn} {tot|blutig|endlich}",
+        "{pass bloß auf|du bist tot|du wirst bluten}",
+        "{bring dich um|stirb|hau ab} {du wurm|du ekelst mich an}",
+        "{ich hasse|tod für|weg mit} <G>",
+        "<G> {sind menschlicher abschaum|sind untermenschen|sind zum kotzen|sind viecher|sind parasiten|sind ungeziefer|stinken|verdienen kein leben|gehören in käfige|gehören verprügelt}",
+        "{fick mich|ich ficke dich|lutsch mich|leck mich|ich wichse} {hart|die ganze nacht|sofort}",
+        "{geile titten|nackter arsch|harter schwanz|feuchte muschi|lauter orgasmus}",
+        "{zieh dich aus|nackt|höschen runter} {und komm her|damit ich dich ficke|aufs bett}",
     ],
     "fr": [
-        f"si {{je t'attrape|je te revois|tu parles encore|je te trouve seul|tu touches à mes affaires}} je te {{brise|casse|arrache|pète|écrase}} {{{_BODY['fr']}}}",
-        f"{{si tu parles encore|si je te revois|au prochain bruit|la prochaine fois}} je t'arrache {{{_BODY['fr']}}}",
-        f"au prochain {{bruit|mot}} je te {{brise|casse|arrache}} {{{_BODY['fr']}}}",
-        "{prie|espère} pour que je ne te croise jamais seul {dans l'escalier|dans la cour|la nuit}",
-        "je {vais te tuer|vais te crever|te fais la peau|te brûle vif} {si tu reviens|cette nuit|comme un chien}",
-        f"tu es {{un|une|un vrai|un pauvre|qu'un}} {{{_INSULT['fr']}}} et {{tout le couloir le sait|tout le monde te déteste|tu ne vaux rien}}",
-        f"{{ferme-la|tais-toi|casse-toi}} {{espèce de|pauvre|sale}} {{{_INSULT['fr']}}} {{personne ne veut de toi|et ne reviens pas|}}",
-        f"celui qui a écrit {{cet avis|ça}} est un {{{_INSULT['fr']}}} fini",
-        f"{{cet|ce}} {{{_INSULT['fr']}}} de la chambre {{mérite des crachats|devrait crever|me dégoûte}}",
-        "{quelqu'un|un raté|une ordure|un déchet} comme toi {devrait pourrir à la cave|mérite la poubelle|fait vomir tout le monde|ne mérite pas un lit} {honte à toi|et personne ne pleurerait|}",
-        "le monde {irait mieux|serait meilleur} si tu {disparaissais|n'étais jamais né|te tuais}",
-        "tu ne {mérites même pas l'air que tu respires|vaux rien|sers à rien et tu dégoûtes}",
-        "<G> {sont des sous-hommes|sont des rats|sont de la vermine|sont des animaux|devraient être enfermés|valent moins que des chiens|infectent chaque maison|n'ont pas droit à une chambre|sont des parasites} {dehors|et leurs amis sont pires|il faut les frapper|qu'on les jette|}",
-        "{ces étrangers|ces gens-là|les gens de ce pays} sont {de la vermine|sales par nature|des parasites} il faut les jeter dehors",
-        "les femmes ne servent qu'à {nettoyer|coucher|faire la cuisine} qu'elles se taisent",
-        "{cette nuit|après la douche|dans le local à vélos} {je veux te baiser|je te déshabille et je te lèche|je veux toucher tes seins|je veux te voir te masturber} {salope|et ne le dis à personne|jusqu'à ce que tu cries|}",
-        "je te veux nue dans {la buanderie|mon lit} {cette nuit|maintenant}",
-        "envoie {tes photos|une photo} {sans culotte|de tes seins|nue} ou je raconte tout",
-        "ils ont baisé {sur la table de la cuisine|sous la douche} et gémissaient comme des porcs",
-        "{suce ma bite|écarte les jambes|fais-moi une pipe} {salope|sale pute}",
-        "{va te faire foutre|nique ta mère|crève} {connard|sale ordure|fils de pute}",
+        f"{{quel|espèce d'|putain de|gros|sale}} {{{_INSULT['fr']}}}",
+        "{va te faire foutre|nique ta mère|crève|va chier}",
+        f"{{je jure que je vais te|demain je vais te|un jour on va te}} {{casser|casse|briser|arracher|arrache|couper}} {{{_BODY['fr']}}}",
+        "{je vais|on va} {te tuer|te poignarder|t'égorger|te tabasser|te brûler|t'étrangler}",
+        "{fais gaffe à toi|t'es mort|tu vas saigner}",
+        "{suicide-toi|meurs|dégage} {ver de terre|tu me dégoûtes}",
+        "{je hais|mort aux|virez} <G>",
+        "<G> {ne sont que des déchets|sont moins qu'humains|me donnent envie de vomir|sont des bêtes|sont des parasites|vermine que tout ça|puent|ne méritent pas de vivre|en cage|qu'on les frappe}",
+        "{baise-moi|je te baise|suce-moi|lèche-moi|je me masturbe} {fort|toute la nuit|tout de suite}",
+        "{gros seins nus|cul nu|bite dure|chatte mouillée|orgasme bruyant}",
+        "{déshabille-toi|nue|enlève ta culotte} {et viens ici|que je te baise|sur le lit}",
     ],
     "es": [
-        f"si {{te pillo|te vuelvo a ver|vuelves a hablar|te encuentro solo|tocas mis cosas}} te {{rompo|parto|arranco|reviento|aplasto}} {{{_BODY['es']}}}",
-        f"al próximo {{ruido|grito}} te {{rompo|parto|arranco}} {{{_BODY['es']}}}",
-        "{reza|ruega} para que nunca te encuentre solo en {la escalera|el patio|la oscuridad}",
-        "{te voy a matar|te mato|te quemo vivo|te rajo} {si vuelves|esta noche|como a un perro}",
-        f"eres {{un|una|un pobre|un completo}} {{{_INSULT['es']}}} y {{todo el pasillo lo sabe|todos te odian|no vales nada}}",
-        f"{{cállate|lárgate|vete}} {{pedazo de|maldito|}} {{{_INSULT['es']}}} {{nadie te quiere aquí|y no vuelvas|das asco}}",
-        f"quien escribió {{este aviso|eso}} es un {{{_INSULT['es']}}} total",
-        f"{{ese|aquel}} {{{_INSULT['es']}}} de la habitación {{merece escupitajos|debería desaparecer|me da asco}}",
-        "{alguien|un fracasado|una basura|gentuza} como tú {debería pudrirse en el sótano|merece el contenedor|hace vomitar a todos|no merece ni una cama} {qué vergüenza|y nadie lloraría|}",
-        "el mundo {sería mejor|estaría mejor} si {desaparecieras|no hubieras nacido|te mataras}",
-        "no {mereces ni el aire que respiras|vales nada|sirves para nada y das asco}",
-        "<G> {son infrahumanos|son ratas|son animales|son parásitos|deberían estar encerrados|valen menos que los perros|infectan cada casa|no tienen derecho a una habitación|son escoria} {fuera de aquí|y sus amigos son peores|habría que pegarles|que los echen|}",
-        "{esos extranjeros|esa gente|los de ese país} son {ratas|sucios por naturaleza|escoria} y hay que echarlos a patadas",
-        "las mujeres solo sirven para {fregar|la cama|la cocina} que se callen",
-        "{esta noche|después de la ducha|en el cuarto de bicicletas} {quiero follarte|te desnudo y te lamo|quiero tocarte las tetas|quiero ver cómo te masturbas} {zorra|y no se lo digas a nadie|hasta que grites|}",
-        "te quiero desnuda en {la lavandería|mi cama} {esta noche|ahora}",
-        "mándame {fotos|una foto} {sin bragas|de tus tetas|desnuda} o lo cuento todo",
-        "follaron {en la mesa de la cocina|en la ducha} y gemían como cerdos",
-        "{chúpame la polla|abre las piernas|hazme una mamada} {zorra|puta}",
-        "{vete a la mierda|que te jodan|muérete} {cabrón|gilipollas|hijo de puta}",
+        f"{{qué|menudo|maldito|puto|asqueroso}} {{{_INSULT['es']}}}",
+        "{vete a la mierda|que te jodan|muérete|jódete}",
+        f"{{juro que te|mañana te|un día te}} {{rompo|parto|corto|arranco|reviento}} {{ambos|toda|todos}} {{{_BODY['es']}}}",
+        "{te voy a|os vamos a} {matar|apuñalar|degollar|dar una paliza|quemar|estrangular}",
+        "{ten cuidado conmigo|estás muerto|vas a sangrar}",
+        "{suicídate|muere|lárgate} {gusano|me das asco}",
+        "{odio a|muerte a|echad a} <G>",
+        "<G> {son basura humana|son infrahumanos|dan ganas de vomitar|son bestias|son parásitos|son ratas|apestan|no merecen vivir|a la jaula|merecen una paliza}",
+        "{fóllame|te follo|chúpame|lámeme|me masturbo} {duro|toda la noche|ya mismo}",
+        "{tetas enormes|culo desnudo|polla dura|coño mojado|orgasmo a gritos}",
+        "{desnúdate|desnuda|bragas fuera} {y ven aquí|que te follo|sobre la cama}",
     ],
 }
 
 NEGATIVE = {
     "it": [
-        "<G> {del terzo piano|della residenza|iscritti al corso} {organizzano una cena|hanno chiesto una riunione|possono prenotare una camera|arrivano lunedì|sono invitati alla festa|pagano la stessa quota|studiano in biblioteca}",
-        "{la commissione|l'assemblea|il convegno} ha discusso {come prevenire|di} {le molestie|l'odio|la violenza} {verso|contro} <G>",
-        "{gli insulti|le minacce|le molestie|le bestemmie} tra residenti vanno segnalati alla direzione",
-        "{sul modulo|nel questionario} barrare la casella sesso {F o M|femmina o maschio}",
-        "il consultorio offre {colloqui|visite} sulla salute {sessuale|riproduttiva} il {lunedì|martedì|sabato}",
-        "bisogna {uccidere|terminare} il processo bloccato sul computer e riavviare",
-        "il film racconta la storia di un {bastardo|cane bastardo} di razza cioè di un cane",
-        "le uova dei vermi da compost si consegnano in cortile",
-        "{la cazzuola|il secchio|la pala} e il secchio restano nel ripostiglio del cortile",
-        "che errore stupido il mio avevo letto male l'orario",
-        "porta la bocca di ricambio della pompa quella vecchia urla",
-        "{la nuda proprietà|il petto di pollo|la troia del traliccio|il gallo} {è nel contratto|è sul menù|va controllata}",
-        "si {spacca|rompe} {la legna|il ghiaccio|il vetro} {in cortile|con cura}",
-        "{il dentista|il medico} {controlla|cura} {i denti|il naso|la lingua|le ossa} {il martedì|su appuntamento}",
-        "{le donne delle pulizie|la squadra femminile|le studentesse} {iniziano alle otto|vincono il torneo|hanno una sala dedicata}",
-        "{topi|ratti|parassiti|vermi} {in cantina|nel deposito} chiamare la disinfestazione",
-        "{lo spogliatoio|la doccia|il letto} {resta chiuso|va lasciato pulito|è al piano terra}",
+        "<G> {festeggiano domenica|studiano qui vicino|cercano casa|hanno vinto il torneo|cantano nel coro|leggono molto|aprono un negozio}",
+        "{abbiamo invitato|tutelare|aiutare|ospitare} <G> {a pranzo|è un dovere|con piacere}",
+        "{vietato discriminare|no all'odio contro|un convegno su} <G>",
+        "{segnalare|punire|prevenire} {insulti|minacce|molestie|violenze} {in ufficio|a scuola|sul lavoro}",
+        "{educazione|salute|malattie} {sessuale|sessuali} {a scuola|per giovani|in farmacia}",
+        "{che idiota sono stato|mi sento stupido|ammazzare il tempo|morire dal ridere|un verme nella mela|il cane bastardino dorme}",
+        "{il seno dell'angolo|il culo della bottiglia|il gallo nel pollaio|la troia di maiali nella stalla}",
+        "{referto|visita|esame} del {seno|pene|sangue} {in ospedale|dal medico}",
     ],
     "en": [
-        "<G> {on the third floor|in the house|on the course} {are cooking dinner|asked for a meeting|may book a room|arrive on monday|are welcome at the party|pay the same fee|study in the library}",
-        "the {board|meeting|committee} discussed how to prevent {harassment|hatred|violence} against <G>",
-        "{insults|threats|harassment} between residents must be reported to the management",
-        "tick the box sex {F or M|female or male} on the form",
-        "the clinic offers {talks|visits} on {sexual|reproductive} health every {monday|friday}",
-        "kill the {frozen|stuck} process on computer and restart it",
-        "the students from {essex|sussex|scunthorpe} will assess the dumb waiter",
-        "the breast stroke class moves to {noon|eight}",
-        "they would kill for a slice of that cake it was a wild night of chess",
-        "what a stupid mistake of mine i misread the slot",
-        "worms for the compost are handed out on {monday|thursday}",
-        "{the dentist|the doctor} checks {teeth|noses|tongues|bones} {on tuesday|by appointment}",
-        "{smash|break} the {ice|glass} {with the hammer|in case of fire}",
-        "{rats|vermin|parasites} in the {basement|store} call pest control",
-        "the {cock|rooster|tit|chick} {sings at dawn|sits on the fence}",
-        "the {shower|bed|laundry} {stays closed|must be left clean|is downstairs}",
-        "{women's|the ladies'} {team|changing room} {wins the cup|opens at eight}",
-        "{hot food|cold food|music} is {not allowed|welcome} inside and {no later than|not before} {ten|may} {or you lose your place|so nobody has to wait}",
-        "strip the bed before you leave and bring the sheets",
+        "<G> {celebrate on sunday|study nearby|look for a flat|won the cup|sing in a choir|read a lot|open a shop}",
+        "{we invited|protect|help|host} <G> {for lunch|is a duty|gladly}",
+        "{never discriminate against|no hatred towards|a lecture about} <G>",
+        "{report|punish|prevent} {insults|threats|harassment|violence} {in class|at school|at work}",
+        "{sex education|sexual health|sexual diseases} {at school|for the young|in a pharmacy}",
+        "{how stupid of me|i felt like an idiot|killing time|dying of laughter|a worm in an apple|a mongrel dog sleeps}",
+        "{chicken breast|a cock crows|the ass carried hay|a bitch with her puppies}",
+        "{report|scan|test} of the {breast|penis|blood} {in hospital|at a doctor}",
     ],
     "de": [
-        "<G> {im dritten stock|im haus|im kurs} {kochen zusammen|baten um ein treffen|dürfen ein zimmer buchen|kommen am montag|sind zum fest eingeladen|zahlen denselben beitrag}",
-        "{der ausschuss|die versammlung} sprach darüber wie man {hass|gewalt|belästigung} gegen <G> verhindert",
-        "{beleidigungen|drohungen} und drohungen sind der leitung zu melden",
-        "im formular das feld {geschlecht|geburtsdatum} ankreuzen",
-        "der kurs zur sexuellen gesundheit findet am {montag|freitag} statt",
-        "der hängende prozess auf dem rechner muss getötet werden",
-        "der zahnarzt prüft {die zähne|die zunge|die nase} am dienstag",
-        "{ratten|ungeziefer} im keller bitte melden",
-        "was für ein dummer fehler von mir ich habe die uhrzeit falsch gelesen",
-        "{die dusche|das bett} {bleibt geschlossen|ist sauber zu hinterlassen}",
-        "die frauenmannschaft gewinnt den pokal",
-        "{das haus|der turm|der hof|das tor} hat {viele|zwanzig|keine} {betten|zimmer|türen|plätze} und {bleibt im winter leer|bleibt offen|ist noch frei}",
-        "{der saal|die halle|das bad} {steht leer|ist besetzt|hat neue betten} und {das tor|die tür} bleibt {leer|zu|auf}",
+        "<G> {feiern am sonntag|lernen nebenan|suchen eine wohnung|gewannen den pokal|singen im chor|lesen viel}",
+        "{wir haben|schützt|helft} <G> {eingeladen|gern|wie allen}",
+        "{keine hetze gegen|ein vortrag über|niemals benachteiligt man} <G>",
+        "{beleidigung|drohung|belästigung|gewalt} {im büro|in schulen|bei der arbeit} {melden|verhindern}",
+        "{sexualkunde|sexuelle gesundheit|geschlechtskrankheiten} {in schulen|für jugendliche}",
+        "{wie dumm von mir|ich idiot habe verschlafen|zeit totschlagen|tot gelacht|ein wurm im apfel}",
+        "{hühnerbrust|der hahn kräht|ein esel trug heu}",
     ],
     "fr": [
-        "<G> {du troisième étage|de la maison|du cours} {préparent un dîner|ont demandé une réunion|peuvent réserver une chambre|arrivent lundi|sont invités à la fête|paient la même somme}",
-        "{le comité|l'assemblée} a discuté comment prévenir {la haine|la violence|le harcèlement} envers <G>",
-        "les insultes et les menaces doivent être signalées à la direction",
-        "cocher la case sexe {F ou M|féminin ou masculin}",
-        "la séance sur la santé sexuelle a lieu le {lundi|dimanche}",
-        "il faut tuer le processus bloqué sur l'ordinateur",
-        "le dentiste contrôle {les dents|la langue|le nez} mardi",
-        "{des rats|de la vermine} à la cave prévenir l'entretien",
-        "quelle erreur stupide de ma part j'ai mal lu l'heure",
-        "{la douche|le lit} {reste fermée|doit rester propre}",
-        "l'équipe des femmes gagne la coupe",
+        "<G> {font la fête dimanche|étudient à côté|cherchent un logement|ont gagné la coupe|chantent en chœur|lisent beaucoup}",
+        "{on a invité|protéger|aider|accueillir} <G> {à midi|est un devoir|volontiers}",
+        "{ne jamais discriminer|non à la haine contre|un exposé sur} <G>",
+        "{signaler|punir|prévenir} {insultes|menaces|harcèlement|violences} {en classe|à l'école|au travail}",
+        "{éducation|santé|maladies} {sexuelle|sexuelles} {à l'école|des jeunes}",
+        "{que je suis bête|quel idiot j'ai été|tuer le temps|mourir de rire|un ver dans une pomme}",
+        "{blanc de poulet|un coq chante|examen du sein chez un médecin}",
     ],
     "es": [
-        "<G> {de la tercera planta|de la casa|del curso} {preparan una cena|pidieron una reunión|pueden reservar una habitación|llegan el lunes|están invitados a la fiesta|pagan la misma cuota}",
-        "{la comisión|la asamblea} habló de cómo prevenir {el odio|la violencia|el acoso} contra <G>",
-        "los insultos y las amenazas se comunican a la dirección",
-        "marcar la casilla sexo {F o M|femenino o masculino}",
-        "la charla sobre salud sexual es el {lunes|viernes}",
-        "hay que matar el proceso bloqueado en el ordenador",
-        "el dentista revisa {los dientes|la lengua|la nariz} el martes",
-        "{ratas|plagas} en el sótano avisar a mantenimiento",
-        "qué error tan estúpido el mío leí mal la hora",
-        "{la ducha|la cama} {sigue cerrada|debe quedar limpia}",
-        "el equipo de mujeres gana la copa",
+        "<G> {celebran el domingo|estudian cerca|buscan piso|ganaron la copa|cantan en un coro|leen mucho}",
+        "{invitamos a|proteger a|ayudar a|acoger a} <G> {a comer|es un deber|con gusto}",
+        "{nunca discriminar a|no al odio contra|una ponencia sobre} <G>",
+        "{denunciar|castigar|prevenir} {insultos|amenazas|acoso|violencia} {en clase|en la escuela|en el trabajo}",
+        "{educación|salud|enfermedades} {sexual|sexuales} {en la escuela|para jóvenes}",
+        "{qué tonto fui|me sentí idiota|matar el tiempo|morir de risa|un gusano en una manzana}",
+        "{pechuga de pollo|un gallo canta|examen de mama en un hospital}",
     ],
 }

@@ -168,7 +168,7 @@ def fit_language(labelled: list[tuple[str, str]], seed: int = 7, certain: list[t
     for text, lang in labelled:
         for _, _, s, n in sentences(text):
             if n >= 4:
-                texts.append(s[:240])
+                texts.append(s)
                 labels.append(LANGS.index(lang))
                 trusted.append(False)
     y, sure = np.array(labels), np.array(trusted)
@@ -222,7 +222,7 @@ def named_language(label):
 def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``sample_rows`` rows whose label names a language, picked by a hash of the id."""
     sample = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), named_language(F.col(label_col)).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    got = sampled(sample.select("i", F.substring("t", 1, 1500).alias("t"), "l"), sample_rows, "i", "t").collect()
+    got = sampled(sample, sample_rows, "i", "t").collect()
     return [(r["t"], r["l"]) for r in got]
 
 
@@ -270,13 +270,15 @@ def language_segments(rows: DataFrame, id_col: str = "id", text_col: str = "text
 
     ``lang`` is ``und`` with confidence 0 where no sentence of six or more words passes the rejection (figures,
     codes, headings, blanks, null). ``confidence`` is the mean over the stretch, weighted by words. Repeated rows
-    (same id, text and label) count once; a null id stays null. No shuffle but that of the repeats.
+    (same id, text and label) count once; a null id stays null. Only the stretches are shuffled, to fold repeats.
     """
     spark = ready(rows.sparkSession)
     model = model or trained(rows, id_col, text_col, label_col)
     shared = spark.sparkContext.broadcast(model)
     picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    return spread(picked.dropDuplicates()).mapInArrow(_segments(shared), "chunk_id string, label string, segment int, start int, end int, lang string, confidence double, words int")
+    # Repeated rows have equal stretches: these are folded, so that no text is shuffled.
+    found = spread(picked).mapInArrow(_segments(shared), "chunk_id string, label string, segment int, start int, end int, lang string, confidence double, words int")
+    return found.dropDuplicates()
 
 
 def language_labels(segments: DataFrame) -> DataFrame:

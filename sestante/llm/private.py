@@ -413,7 +413,6 @@ def _tokens(text: str) -> tuple[list[str], list[int], list[int]]:
     return [m.group() for m in ms], [m.start() for m in ms], [m.end() for m in ms]
 
 
-@functools.lru_cache(maxsize=2)
 def fit_private(rounds: int = 100, rate: float = 0.25, shrink: float = 2e-5) -> PrivateField:
     """Gradient ascent on the likelihood of the seed sentences, expectations by loopy propagation."""
     field = PrivateField()

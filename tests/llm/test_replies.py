@@ -64,7 +64,7 @@ def test_abuse_seeds_held_out():
 
 def test_obfuscations_and_groups():
     model = B.fit_abuse()
-    bad = ["Sei un idiota e lo sanno tutti", "sei un 1d1ot4 e lo sanno tutti", "SEI UN I D I O T A E LO SANNO TUTTI", "sei un id​iota e lo sanno tutti", "sei un idiotaaaa e lo sanno tutti"]
+    bad = ["Certo che sei idiota", "certo che sei 1d1ot4", "CERTO CHE SEI I D I O T A!", "certo che sei id​iota", "certo che sei idiotaaaa"]
     assert (model(bad) > 0.5).all()
     fine = ["Gli stranieri del terzo piano organizzano una cena.", "Le donne del terzo piano organizzano una cena.", None, "", "12:30"]
     s = model(fine)
@@ -79,3 +79,20 @@ def test_abuse_rows(spark):
     rates = {r.source: (r.documents, r.abusive_documents) for r in B.abuse_rates(scores).collect()}
     assert rates == {"s": (3, 2), None: (1, 0), "t": (2, 1)}
     assert B.abuse_scores(df.where("false")).count() == 0
+
+
+def test_labels_teach_new_wordings():
+    """A wording that no seed has is learnt from labelled texts, of which most is harmless; a wrong label teaches nothing."""
+    prose = ["Gli ospiti firmano il registro all'ingresso. La sala grande chiude alle dieci di sera.", "Il bagno del piano si pulisce ogni lunedì. Le chiavi restano in portineria fino a domenica."]
+    harmless = tuple(f"{prose[n % 2]} Nota numero {n}." for n in range(60))
+    abusive = tuple(f"{prose[n % 2]} Sparati zimbello quaquaraquà. Nota numero {n}." for n in range(12)) + (prose[0] + " Nota numero 99.",)
+    model = B.fit_abuse(harmless, abusive)
+    told = B.telling_sentences(list(abusive), list(harmless), B.pair_counts([*harmless, *abusive]), 73, model)
+    assert {" ".join(s) for s in told} == {"sparati zimbello quaquaraqua"} and len(told) == 12
+    assert model(["Sparati zimbello quaquaraquà"])[0] > 0.95 and model(list(harmless)).max() < 0.5
+
+
+def test_long_sentences_are_trained_whole():
+    rows = [([f"w{i}" for i in range(30)] + ["zut"], 1, None), ([f"w{i}" for i in range(30)] + ["ok"], 0, None)] * 20
+    model = B._fit(rows, __import__("random").Random(1))
+    assert model(["zut"])[0] > model(["ok"])[0] + 0.05
