@@ -153,7 +153,19 @@ _GROUPS = """
     k AS (SELECT a AS rep, min(b) AS class FROM r GROUP BY a),
     groups AS (SELECT w.id, min(class) AS class_id, min(rep) AS copies_of FROM w JOIN d USING (ws) JOIN k USING (rep) GROUP BY w.id)
 """
+_PASSAGE = (
+    "regexp_extract_all(lower(regexp_replace(strip_accents(regexp_replace(regexp_replace(coalesce(text, ''), '([\\p{L}\\p{N}_])[-\\x{2010}\\x{00AD}][ \\t]*\\r?\\n[\\s>*|#]*([\\p{L}\\p{N}_])', '\\1\\2', 'g'), "
+    "'</?[a-zA-Z][^<>\\n]{0,60}>|&#?\\w{1,8};', ' ', 'g')), '[\\x{0300}-\\x{036F}\\x{00AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g')), '[\\p{L}\\p{N}]+')"
+)
+_TWELVE = "unnest(list_distinct(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' ')))) AS g"
+_LEAKED = f"""
+    WITH d AS (SELECT doc_id, {_TWELVE} FROM (SELECT doc_id, {_PASSAGE} AS ws FROM documents) WHERE len(ws) >= 12),
+    h AS (SELECT item_id, {_TWELVE} FROM (SELECT item_id, {_PASSAGE} AS ws FROM heldout) WHERE len(ws) >= 12)
+    SELECT doc_id, item_id, count(DISTINCT g) + 11 AS words FROM d JOIN h USING (g) GROUP BY ALL
+"""
 SQL: dict[str, str] = {
+    "p7_words": _LEAKED,
+    "p7_found": f"SELECT doc_id, item_id FROM ({_LEAKED})",
     "p4_found": """
         WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE length(text) > 1400),
         m AS (SELECT id,

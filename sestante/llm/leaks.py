@@ -160,10 +160,23 @@ class Windows:
 _WINDOW_ROWS = "doc long, pos int, template long, exact long, slots array<string>"
 
 
-def _windows(names, window: int, wanted, with_slots: bool, items: bool):
+def _lengths():
+    """How many words each item has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(passage_words(t, True)) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc"), pa.array(n, pa.int64())], names=["item_id", "n"])
+
+    return run
+
+
+def _windows(names, window: int, wanted, with_slots: bool, items: bool, forms: bool):
+    """Windows with their slots; with ``forms`` a capital inside a sentence of a document makes a name too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, plain = names.value
-        windows = Windows(known, window, plain if with_slots and not items else None, with_slots)
+        windows = Windows(known, window, plain if forms and not items else None, forms)
         table = flags = None
         if wanted is not None:
             table = wanted.value
@@ -187,45 +200,60 @@ def _windows(names, window: int, wanted, with_slots: bool, items: bool):
     return run
 
 
-def _both(documents: DataFrame, items: DataFrame, window: int, with_slots: bool) -> tuple[DataFrame, DataFrame]:
+def _both(documents: DataFrame, items: DataFrame, window: int, forms: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """Windows of documents and of items as ``(doc, pos, template, exact, slots)``, and whether the items' are few."""
     spark = ready(documents.sparkSession)
     held = items.select(F.col("item_id").cast("long").alias("doc"), "text").where("text IS NOT NULL")
-    size = held.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    small = size < 2 * FILTER_WINDOWS
-    # Slots are looked at only for templates; equal words make equal windows without them.
-    names = spark.sparkContext.broadcast(vocabulary(held) if with_slots else (frozenset(), frozenset()))
-    item_windows = held.mapInArrow(_windows(names, window, None, with_slots, True), _WINDOW_ROWS)
+    names = spark.sparkContext.broadcast(vocabulary(held))
+    item_windows = held.mapInArrow(_windows(names, window, None, True, True, forms), _WINDOW_ROWS)
+    small = item_windows.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
     wanted = None
     if small:
         templates = item_windows.select("template").distinct().toArrow().column("template").to_numpy()
         wanted = spark.sparkContext.broadcast(np.sort(templates.view(np.uint64)))
     picked = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text IS NOT NULL")
-    return spread(picked).mapInArrow(_windows(names, window, wanted, with_slots, False), _WINDOW_ROWS), item_windows
+    return spread(picked).mapInArrow(_windows(names, window, wanted, True, False, forms), _WINDOW_ROWS), item_windows, small
+
+
+def template_matches(documents: DataFrame, items: DataFrame, window: int = 12, forms: bool = False) -> DataFrame:
+    """``(doc_id, item_id, p, q, ds, hs)``: windows of a document (at word ``p``) and of an item (at ``q``) of one template, with their slots.
+
+    Few item windows (``FILTER_WINDOWS`` at most) are broadcast, so that no document window is shuffled and a template that
+    very many windows share, such as one of placeholders alone, is met where it stands. Of more items, equal windows of a
+    document are folded first, and adaptive execution splits what is left of a hot template.
+    """
+    docs, held, small = _both(documents, items, window, forms)
+    a = docs.select(F.col("doc").alias("doc_id"), F.col("pos").alias("p"), "template", F.col("slots").alias("ds"))
+    b = held.select(F.col("doc").alias("item_id"), F.col("pos").alias("q"), "template", F.col("slots").alias("hs")).distinct()
+    return a.join(F.broadcast(b) if small else b, "template")
 
 
 def verbatim_leaks(documents: DataFrame, items: DataFrame, window: int = 12) -> DataFrame:
     """``(doc_id, item_id, words)``: documents holding ``window`` or more successive words of an item.
 
-    ``words`` is the least number of item words so covered (windows matched + window - 1 if they are one run).
-    Null or blank texts and texts shorter than the window hold nothing; repeated rows count once; a null id is kept.
+    Windows meet by their templates; of these the slots are checked, and only those count in which every slot of the item
+    answers to itself. ``words`` is the least number of item words so covered (windows matched + window - 1 if they are one
+    run). Null or blank texts and texts shorter than the window hold nothing; repeated rows count once; a null id is kept.
     """
-    docs, held = _both(documents, items, window, False)
-    found = docs.select("doc", "template", "exact").distinct().join(held.select(F.col("doc").alias("item_id"), "template", "exact").distinct(), ["template", "exact"])
-    return found.groupBy(F.col("doc").alias("doc_id"), "item_id").agg((F.count("*") + window - 1).alias("words"))
+    same = template_matches(documents, items, window).where("ds = hs").select("doc_id", "item_id", F.xxhash64("template", "hs").alias("w")).distinct()
+    return same.groupBy("doc_id", "item_id").agg((F.count("*") + window - 1).alias("words"))
 
 
-def template_leaks(documents: DataFrame, items: DataFrame, window: int = 12) -> DataFrame:
-    """``(doc_id, item_id, windows, changed_slots)``: re-parameterised passages, the wording kept, the slots changed.
+def template_leaks(documents: DataFrame, items: DataFrame, window: int = 12, share: float = 0.8) -> DataFrame:
+    """``(doc_id, item_id, windows, changed_slots)``: re-parameterised items, the wording kept, the slots changed.
 
-    A document and an item are aligned at one offset; there all windows of the item's template must match with each
-    item slot answering to a single document value (slot consistency) and at least one value changed.
+    A document and an item are aligned at one offset; there windows that match by template must cover ``share`` of the item's
+    words, each slot of the item answering to a single value of the document (slot consistency) and at least one value
+    changed. (Not all of the words: a window in which a word is once a name and once not has no reading that fits.)
     """
-    docs, held = _both(documents, items, window, True)
-    a = docs.select(F.col("doc").alias("doc_id"), F.col("pos").alias("p"), "template", F.col("slots").alias("ds")).distinct()
-    b = held.select(F.col("doc").alias("item_id"), F.col("pos").alias("q"), "template", F.col("slots").alias("hs")).distinct()
-    met = a.join(b, "template").withColumn("shift", F.col("p") - F.col("q"))
-    pairs = met.select("doc_id", "item_id", "shift", "q", F.explode(F.arrays_zip("hs", "ds")).alias("z"))
-    slots = pairs.groupBy("doc_id", "item_id", "shift", "z.hs", "z.ds").agg(F.count("*").alias("c"))
-    agreed = slots.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"), F.countDistinct("hs").alias("h"), F.sum((F.col("hs") != F.col("ds")).cast("long")).alias("changed_slots")).where("n = h AND changed_slots > 0")
-    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("q").alias("windows"))
-    return agreed.join(runs, ["doc_id", "item_id", "shift"]).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("changed_slots").alias("changed_slots"))
+    met = template_matches(documents, items, window, True).withColumn("shift", F.col("p") - F.col("q"))
+    whole = items.select(F.col("item_id").cast("long").alias("doc"), "text").where("text IS NOT NULL").mapInArrow(_lengths(), "item_id long, n long").groupBy("item_id").agg(F.max("n").alias("n"))
+    # At most as many windows as an item has words.
+    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("q").alias("qs")).withColumn("windows", F.size("qs"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + (window - 1))))))
+    runs = runs.join(whole, "item_id").where(covered >= F.lit(share) * F.col("n") - F.lit(1e-9)).select("doc_id", "item_id", "shift", "windows")
+    full = met.join(runs, ["doc_id", "item_id", "shift"])
+    pairs = full.select("doc_id", "item_id", "shift", "windows", F.explode(F.arrays_zip("hs", "ds")).alias("z"))
+    slots = pairs.select("doc_id", "item_id", "shift", "windows", "z.hs", "z.ds").distinct()
+    agreed = slots.groupBy("doc_id", "item_id", "shift", "windows").agg(F.count("*").alias("n"), F.countDistinct("hs").alias("h"), F.sum((F.col("hs") != F.col("ds")).cast("long")).alias("changed_slots")).where("n = h AND changed_slots > 0")
+    return agreed.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("changed_slots").alias("changed_slots"))

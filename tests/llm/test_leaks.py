@@ -57,3 +57,14 @@ def test_new_names_and_separated_figures(spark):
     docs = [(1, new), (2, new.replace("la torre", "La Torre")), (3, item.replace("Molanto", "casa")), (4, item)]
     found = template_leaks(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS), spark.createDataFrame([(9, item)], ITEMS))
     assert {(r.doc_id, r.changed_slots) for r in found.collect() if r.doc_id != 3} == {(1, 4), (2, 4)}
+
+
+def test_slots_must_be_consistent_and_most_words_match(spark):
+    item = "Dal 12 maggio il signor Dorelvo paga 40 euro al giorno e il signor Dorelvo lascia la stanza 40 entro 9 ore."
+    one = item.replace("Dorelvo", "Vernik").replace("40", "75")
+    torn = item.replace("Dorelvo", "Vernik", 1).replace("40", "75")
+    part = " ".join(one.split()[:13]) + " e poi si parla di altro senza che nessuno lo riporti a quanto detto prima di qui."
+    docs = [(1, one), (2, torn), (3, part), (4, " ".join(["7 euro"] * 300))]
+    hot = " ".join(["5 euro"] * 8)
+    found = template_leaks(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS), spark.createDataFrame([(9, item), (8, hot)], ITEMS))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 9), (4, 8)}
