@@ -32,7 +32,7 @@ RUN = 12
 SAMPLE_DOCS = 2500
 #: Slots of the table of pairs of words: fixed size, whatever the corpus.
 PAIR_BITS = 18
-#: Mean log-ratio of a sentence's pairs, labelled texts to all documents, from which it may be what its text was labelled for.
+#: Mean log-ratio of a sentence's pairs, texts of its label to harmless ones, from which it may be what its text was labelled for.
 TELLS = 1.5
 #: Runs of words of those documents used at most.
 SAMPLE_RUNS = 25_000
@@ -224,16 +224,15 @@ def pair_counts(texts: list[str | None]) -> np.ndarray:
     return total
 
 
-def telling_sentences(abusive: list[str], harmless: list[str], background: np.ndarray, documents: int, model: "AbuseModel") -> list[list[str]]:
+def telling_sentences(abusive: list[str], harmless: list[str], model: "AbuseModel") -> list[list[str]]:
     """The sentence of each abusive text that speaks most for its label.
 
     A label belongs to a whole text, of which most is harmless. What tells is that a sentence's pairs of words are more
-    frequent among the labelled texts than among all documents and among the harmless ones, and what the seeds' fit makes of it. A text whose best
+    frequent among the texts of its label than among the harmless ones, and what the seeds' fit makes of it. A text whose best
     sentence says neither is taken for wrongly labelled and gives none.
     """
     own = pair_counts(abusive)
-    other = np.maximum((background + 1.0) / (documents + 2.0), (pair_counts(harmless) + 0.2) / (len(harmless) + 0.4))
-    ratio = np.log((own + 0.2) / (len(abusive) + 0.4)) - np.log(other)
+    ratio = np.log((own + 0.2) / (len(abusive) + 0.4)) - np.log((pair_counts(harmless) + 0.2) / (len(harmless) + 0.4))
     out = []
     for t in abusive:
         doc = _sentences(t)
@@ -248,10 +247,10 @@ def telling_sentences(abusive: list[str], harmless: list[str], background: np.nd
     return out
 
 
-def fit_abuse(harmless: tuple[str, ...] = (), abusive: tuple[str, ...] = (), background: np.ndarray | None = None, documents: int = 0, seed: int = 11) -> AbuseModel:
+def fit_abuse(harmless: tuple[str, ...] = (), abusive: tuple[str, ...] = (), seed: int = 11) -> AbuseModel:
     """Fit on the seeds, on the sentences of ``harmless`` texts (label 0) and on the telling one of each ``abusive`` text.
 
-    ``background`` are the pair counts of all ``documents``. Reviewers overlook things: runs of words of harmless texts that
+    Reviewers overlook things: runs of words of harmless texts that
     the first fit finds abusive all the same are left out of the second, unless several texts hold them.
     """
     rng = random.Random(seed)
@@ -263,14 +262,15 @@ def fit_abuse(harmless: tuple[str, ...] = (), abusive: tuple[str, ...] = (), bac
     model = _fit(rows + plain + runs, random.Random(seed))
     if not runs and not abusive:
         return model
-    if background is None:
-        background, documents = pair_counts([*harmless, *abusive]), len(harmless) + len(abusive)
     # What several harmless texts say was not overlooked.
     held = pair_counts(list(harmless))
     common = [len(r[0]) > 1 and held[_pair_slots(["0" if w[0].isdigit() else w for w in r[0]])].mean() >= 4 for r in runs]
     for _ in range(2):
-        told = [(w, 1, None) for w in telling_sentences(list(abusive), list(harmless), background, documents, model)] * 6
-        kept = [r for r, usual in zip(runs, common) if usual or model([" ".join(r[0])])[0] < 0.6]
+        told = [(w, 1, None) for w in telling_sentences(list(abusive), list(harmless), model)] * 6
+        score = model([" ".join(r[0]) for r in runs]) if runs else []
+        kept = [r for r, usual, p in zip(runs, common, score) if usual or p < 0.6]
+        # Harmless wordings that look abusive so far count several times.
+        kept += [r for r, usual, p in zip(runs, common, score) if usual and p > 0.2] * 8
         model = _fit(rows + plain + kept + told, random.Random(seed))
     return model
 
@@ -314,29 +314,18 @@ def _fit(rows: list, rng: random.Random, epochs: int = 12, penalty: float = 0.5)
     return AbuseModel(weights, pairs, float(bias), known, abusive)
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << PAIR_BITS, np.int64)
-    for batch in batches:
-        total += pair_counts(batch.column("text").to_pylist())
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
-
-
 def trained(documents: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOCS) -> AbuseModel:
     """Fit on the seeds and on documents with reviewers' labels, whole texts, at most ``sample_docs`` of either label (by a hash of the id).
 
-    Documents whose reviewers disagree are left out. Pairs of words are counted over all documents.
+    Documents whose reviewers disagree are left out.
     """
     if labels is None:
         return fit_abuse()
     agreed = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("toxic").alias("u")).where("t = u")
     picked = sampled(agreed.where("t = 0").select("doc_id", "t"), sample_docs, "doc_id").union(sampled(agreed.where("t = 1").select("doc_id", "t"), sample_docs, "doc_id"))
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("t", "text").distinct().collect()
-    counted = spread(documents.where("text IS NOT NULL").select("text")).mapInArrow(_pairs_of, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    background = np.zeros(1 << PAIR_BITS, np.int64)
-    background[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     harmless, abusive = (tuple(sorted(r["text"] for r in rows if r["t"] == t)) for t in (0, 1))
-    return fit_abuse(harmless, abusive, background, documents.where("text IS NOT NULL").count())
+    return fit_abuse(harmless, abusive)
 
 
 def _scored(model):

@@ -87,7 +87,7 @@ def test_labels_teach_new_wordings():
     harmless = tuple(f"{prose[n % 2]} Nota numero {n}." for n in range(60))
     abusive = tuple(f"{prose[n % 2]} Sparati zimbello quaquaraquà. Nota numero {n}." for n in range(12)) + (prose[0] + " Nota numero 99.",)
     model = B.fit_abuse(harmless, abusive)
-    told = B.telling_sentences(list(abusive), list(harmless), B.pair_counts([*harmless, *abusive]), 73, model)
+    told = B.telling_sentences(list(abusive), list(harmless), model)
     assert {" ".join(s) for s in told} == {"sparati zimbello quaquaraqua"} and len(told) == 12
     assert model(["Sparati zimbello quaquaraquà"])[0] > 0.95 and model(list(harmless)).max() < 0.5
 
