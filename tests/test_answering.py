@@ -194,7 +194,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "manifest.yaml").write_text("- a")
     with pytest.raises(ValueError):
         readers.read_manifest(spark, root)
-    (tmp_path / "q.yaml").write_text("questions:\n- {id: 1, question: Quando?, tier: public, expected_sources: [a.md]}\n- {id: 2, question: E?, corpus: data}\n- {id: 3, question: O?, corpus: fixtures}\n")
+    (tmp_path / "q.yaml").write_text("questions:\n- {id: 1, question: 'Quando?', tier: public, expected_sources: [a.md]}\n- {id: 2, question: 'E?', corpus: data}\n- {id: 3, question: 'O?', corpus: fixtures}\n")
     path = str(tmp_path / "q.yaml")
     assert [readers.read_questions(spark, path, c).count() for c in ("all", "data", "fixtures")] == [3, 2, 2] and readers.read_questions(spark, "/no/such.yaml").count() == 0
     assert readers.read_traps(spark, path).count() == 2 and readers.read_attacks(spark, "/no/such.yaml").count() == 0
@@ -209,3 +209,22 @@ def test_readers(spark, tmp_path):
     (tmp_path / "data" / "x.md").write_text("x")
     assert readers.corpus_root(str(tmp_path / "data"), "other") == str(tmp_path / "data")
     assert "q.yaml" in readers.git_files(root)
+
+
+def test_routed_batches(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from sestante.streaming import chat
+
+    (tmp_path / "t.json").write_text('{"u": "Anna", "f": "Ada"}')
+    now = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    rows = [("u", "Anna B", 1, now, "a", None), ("u", "Anna B", 2, now, "b", None), ("x", None, 0, now, "c", None), ("f", "Ada", 0, now, None, "boom"), (None, None, 0, now, "d", None)]
+    batch = spark.createDataFrame(rows, "user_id string, display_name string, session long, ts timestamp, answer string, error string")
+    chat.route_batch(str(tmp_path / "log"), str(tmp_path / "t.json"))(batch, 0)
+    read = lambda name: spark.read.json(str(tmp_path / "log" / name))
+    assert {(r.user_key, r.session_key) for r in read("answered").collect()} == {("Anna-B-u", 1), ("Anna-B-u", 2), ("Ada-f", 0)}
+    assert read("denied").count() == 2 and read("failed").count() == 1
+    (tmp_path / "t.json").write_text("broken")
+    assert chat.admitted(batch, str(tmp_path / "t.json")).where("allowed").count() == 0 and chat.admitted(batch, "", True).where("allowed").count() == 5
+    stream = chat.messages(spark, "json", "user_id string, ts timestamp, question string", path=str(tmp_path / "in")) if (tmp_path / "in").mkdir() is None else None
+    assert stream.isStreaming
