@@ -495,7 +495,10 @@ def plausible(kind: str, s: str) -> bool:
     if kind == "address":
         return digits >= 1 and sum(c.isalpha() for c in s) >= 5
     words = re.findall(r"[^\W\d_]+", s)
-    return any(len(w) >= 4 and w.lower() not in _FIRST for w in words) and digits == 0
+    surname = any(len(w) >= 4 and w.lower() not in _FIRST for w in words)
+    # A short surname counts beside a known first name.
+    short = any(w.lower() in _FIRST for w in words) and any(len(w) >= 2 and w[0].isupper() and w.lower().rstrip(".") not in _FIRST | _TITLE for w in words)
+    return (surname or short) and digits == 0
 
 
 def find_spans(field: PrivateField, texts: list[str | None], least: dict[str, float] = LEAST) -> list[list[tuple[int, int, str]]]:

