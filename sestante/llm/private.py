@@ -48,6 +48,9 @@ _OUTLINES = (
     ("street_after", re.compile(r"\b\d{1,4}(?:/[A-Z])?,?\s(?:rue|avenue|impasse|place|chemin|boulevard|allée)\s(?:[\w'’]+\s?){1,4}|\b\d{1,4}\s(?:[A-Z]\w+\s){1,3}(?:Street|Road|Lane|Row|Avenue|Square|Close|Rise|Drive|Terrace|Court|Walk|Gate|Hill|Yard|Way|Mews)\b")),
     ("street_german", re.compile(r"\b(?:(?:Alte|Neue|Am|An der|Im|Zum|Zur)\s)?(?:[A-ZÄÖÜ]\w+\s)?\w*(?:weg|straße|strasse|str\.|gasse|platz|allee|ufer|ring|hof|teich|graben|markt)\s\d{1,4}(?:/[A-Z])?\b", re.I)),
 )
+#: What a text must hold for an outline to be there at all: a quick look before the slow ones.
+_AT = re.compile(r"@|\bat\b|chiocciola|arroba|arobase|klammeraffe", re.I)
+_NEEDS = {"email": re.compile("@"), "email_spelt": _AT, "slash": re.compile(r"\d/\d"), "street": re.compile(r"\d"), "street_small": re.compile(r"\d"), "street_german": re.compile(r"(?:weg|straße|strasse|str\.|gasse|platz|allee|ufer|ring|hof|teich|graben|markt)\s\d", re.I), "street_after": re.compile(r"\d,?\s(?:rue|avenue|impasse|place|chemin|boulevard|allée)\s|\d/[A-Z],?\s|\s(?:Street|Road|Lane|Row|Avenue|Square|Close|Rise|Drive|Terrace|Court|Walk|Gate|Hill|Yard|Way|Mews)\b")}
 _NAMES = {name: n for n, (name, _) in enumerate(_OUTLINES)}
 _PATTERNS = len(_OUTLINES) * 4
 #: Log-odds by which a word must come near a kind, and words around it, for the propagation to look there.
@@ -212,8 +215,15 @@ class PrivateField:
         """``(owner, form, emission)`` of all words, patterns not yet counted."""
         if len(self.at) > 200_000:
             self._reset()
-        at, add = self.at, self._add
-        forms = np.array([at[w] if w in at else add(w) for ws in tokens for w in ws], np.int64)
+        at = self.at
+        try:
+            forms = np.array([at[w] for ws in tokens for w in ws], np.int64)
+        except KeyError:
+            for ws in tokens:
+                for w in ws:
+                    if w not in at:
+                        self._add(w)
+            forms = np.array([at[w] for ws in tokens for w in ws], np.int64)
         owner = np.repeat(np.arange(len(tokens)), [len(ws) for ws in tokens])
         return owner, forms, self._gather(owner, forms, self.rows)
 
@@ -234,6 +244,8 @@ def outline_ids(text: str, starts: list[int]) -> list[tuple[int, int]]:
     """``(token, pattern)`` of each outline found in the text; patterns tell the kind, a leading sign and the length."""
     found = []
     for n, (name, pattern) in enumerate(_OUTLINES):
+        if name in _NEEDS and not _NEEDS[name].search(text):
+            continue
         for m in pattern.finditer(text):
             s = m.group()
             variant = 0
@@ -480,7 +492,6 @@ def fit_private(rounds: int = 100, rate: float = 0.25, shrink: float = 2e-5) ->
 # -- use --------------------------------------------------------------------------------------------------------
 
 _NEVER = np.array([0] + [-30] * (K - 1), np.float32)
-_AT = re.compile(r"@|\bat\b|chiocciola|arroba|arobase|klammeraffe", re.I)
 
 
 def plausible(kind: str, s: str) -> bool:
@@ -533,12 +544,18 @@ def find_spans(field: PrivateField, texts: list[str | None], least: dict[str, fl
     near = emit[:, 1:].max(1) > emit[:, 0] - SLACK
     reach = np.convolve(near, np.ones(2 * REACH + 1), "same")[: len(near)] > 0 if len(near) > 2 * REACH + 1 else np.full(len(near), near.any())
     # A skip edge carries further: the like words of the same text are taken in with their surroundings, and theirs.
-    rare, pair = field.rare[forms], owner * (len(field.kin) + 1) + field.like[forms]
+    at_rare = np.flatnonzero(field.rare[forms])
+    _, kin, times = np.unique(owner[at_rare] * (len(field.kin) + 1) + field.like[forms[at_rare]], return_inverse=True, return_counts=True)
+    again = times[kin] > 1
+    at_rare, kin = at_rare[again], kin[again]
     while True:
-        linked = rare & ~reach & np.isin(pair, np.unique(pair[reach & rare]))
-        if not linked.any():
+        inside = reach[at_rare]
+        touched = np.zeros(len(times), bool)
+        touched[kin[inside]] = True
+        linked = at_rare[~inside & touched[kin]]
+        if not len(linked):
             break
-        for t in np.flatnonzero(linked).tolist():
+        for t in linked.tolist():
             reach[max(t - REACH, 0) : t + REACH + 1] = True
     kept = np.flatnonzero(reach)
     if not len(kept):
