@@ -127,8 +127,9 @@ def generate(asked: DataFrame, model: Model = quoting_model, system: str = PROMP
 
 
 def _shingles(text: Column) -> Column:
-    words = word_list(text)
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>"))
+    """The runs of ``SHINGLE`` words; the words are bound to a variable, so that they are split once, not once a run."""
+    runs = lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(word_list(text)), runs), 1)
 
 
 def prompt_shingles(prompt: str) -> list[str]:

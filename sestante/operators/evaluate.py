@@ -144,8 +144,9 @@ def redteam_totals(rows: DataFrame) -> DataFrame:
 
 
 def _runs_of(text):
-    words = word_list(text)
-    return F.when(F.size(words) >= 6, F.transform(F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i, 6), " "))).otherwise(F.array().cast("array<string>"))
+    """The runs of six words; the words are bound to a variable, so that they are split once."""
+    runs = lambda w: F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(1), F.size(w) - 5), lambda i: F.array_join(F.slice(w, i, 6), " "))).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(word_list(text)), runs), 1)
 
 
 def measured(ranked: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
