@@ -94,9 +94,9 @@ def standalone(rows: DataFrame, model=None, system: str = "") -> DataFrame:
     """
     from .answering import model_replies
 
-    prompts = rows.select(F.col("turn_id").cast("string").alias("qid"), rewrite_prompt(F.col("recent"), F.col("question")).alias("prompt")).where("prompt <> ''")
     if model is None:
         return rows.withColumn("asked", F.col("question"))
+    prompts = rows.select(F.col("turn_id").cast("string").alias("qid"), rewrite_prompt(F.col("recent"), F.col("question")).alias("prompt")).where("prompt <> ''")
     said = model_replies(prompts, model, system).withColumnRenamed("qid", "_qid")
     met = rows.join(said, rows["turn_id"].cast("string") == said["_qid"], "left")
     return met.withColumn("asked", accepted_rewrite(F.col("question"), F.col("raw"))).drop("_qid", "raw")
@@ -113,9 +113,12 @@ def handled(rows: DataFrame, users: DataFrame, answer, model=None) -> DataFrame:
 
     kinds = rows.select("turn_id", "user_id", "question", route(F.col("question")).alias("route"))
     open_ = kinds.where("route = 'question'")
-    # Commands are no part of a context, but a reset ends it.
-    recent = recent_context(rows.where(route(F.col("question")).isin("question", "reset")))
-    asked = standalone(open_.join(recent, "turn_id", "left"), model)
+    if model is None:  # nothing looks back
+        asked = standalone(open_)
+    else:
+        # Commands are no part of a context, but a reset ends it.
+        recent = recent_context(rows.where(route(F.col("question")).isin("question", "reset")))
+        asked = standalone(open_.join(recent, "turn_id", "left"), model)
     tiers = users.select("user_id", "tier")
     queries = asked.join(tiers, "user_id", "left").select(F.col("turn_id").cast("string").alias("qid"), F.col("asked").alias("question"), F.when(F.col("tier").isin("public", "resident", "staff"), F.col("tier")).otherwise("public").alias("tier"))
     said = answer(queries).select("qid", "text", reply(F.col("text"), F.col("citations"), F.col("refused")).alias("reply"))

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.tiers import TIERS, tier_rank
+from ..session import cut
 
 #: Fixed values of the keyword score and of the fusion.
 K1, B = 1.5, 0.75
 FUSE_K, KEYWORD_WEIGHT, EVIDENCE = 2, 0.5, 5
 #: Query vectors and row vectors of a block, about; more are taken in further blocks.
 QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
+#: Keyword search: rows of a block of postings (under 2^16) and rankings of a block; rows whose best score is taken together.
+POSTING_BLOCK, FORM_BLOCK, GROUP = 32_768, 16_384, 64
+#: Scores held at a time, about: what stays in a core's cache.
+SCORES = 1 << 17
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
@@ -58,26 +67,181 @@ def keyword_ranking(rows: DataFrame, queries: DataFrame, k: int | None = None) -
     return ranked.where(F.col("position") <= k) if k else ranked
 
 
+def _hashes(text) -> Column:
+    """The tokens' 64-bit hashes."""
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+
+
+_HEAD = "array<struct<id:string,source:string,n:int,rank:int>>"
+_PACKED = f"ids array<string>, sources array<string>, ns array<int>, ranks binary, dl binary, terms binary, starts binary, at binary, tf binary, heads {_HEAD}"
+
+
+def _packed(k: int):
+    """Blocks of rows as postings sorted by term; rows are numbered in corpus order, ``heads`` are the first ``2 k`` of each tier."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        ids, sources, ns = (rows.column(c).to_pylist() for c in ("id", "source", "n"))
+        order = sorted(range(len(ids)), key=lambda i: (sources[i] is not None, sources[i] or "", ns[i], ids[i]))
+        rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
+        ids, sources, ns = ([x[i] for i in order] for x in (ids, sources, ns))
+        ranks = rows.column("rank").to_numpy().astype(np.uint8)
+        terms = rows.column("terms").combine_chunks()
+        dl = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, owner = terms.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), dl)
+        by = np.lexsort((owner, flat))
+        flat, owner = flat[by], owner[by]
+        new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]) if len(flat) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        tf = np.diff(np.concatenate([first, [len(flat)]]))
+        term, at = flat[first], owner[first]
+        starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        heads = sorted({int(i) for caller in range(len(TIERS)) for i in np.flatnonzero(ranks <= caller)[: 2 * k]})
+        held = [{"id": ids[i], "source": sources[i], "n": ns[i], "rank": int(ranks[i])} for i in heads]
+        small = lambda x: [zlib.compress(x.tobytes(), 1)]
+        columns = [pa.array([ids], pa.list_(pa.string())), pa.array([sources], pa.list_(pa.string())), pa.array([ns], pa.list_(pa.int32()))]
+        columns += [pa.array(small(x), pa.binary()) for x in (ranks, dl.astype(np.int32), term[starts], np.append(starts, len(term)), at.astype(np.uint16), tf.astype(np.int32))]
+        head = pa.struct([("id", pa.string()), ("source", pa.string()), ("n", pa.int32()), ("rank", pa.int32())])
+        return pa.record_batch([*columns, pa.array([held], pa.list_(head))], names=["ids", "sources", "ns", "ranks", "dl", "terms", "starts", "at", "tf", "heads"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            while batch.num_rows:
+                part, batch = batch.slice(0, POSTING_BLOCK - held), batch.slice(POSTING_BLOCK - held)
+                waiting.append(part)
+                held += part.num_rows
+                if held == POSTING_BLOCK:
+                    yield block(pa.Table.from_batches(waiting))
+                    waiting, held = [], 0
+        if held:
+            yield block(pa.Table.from_batches(waiting))
+
+    return run
+
+
+_KINDS = {"ranks": np.uint8, "dl": np.int32, "terms": np.int64, "starts": np.int64, "at": np.uint16, "tf": np.int32}
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(batch.column(c)[row].as_py()), _KINDS[c]) for c in names]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of each tier a block has for each term; without a term, rows of each tier and their lengths."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ranks, dl, terms, starts, at = _unpacked(batch, row, ("ranks", "dl", "terms", "starts", "at"))
+            for rank in np.unique(ranks).tolist():
+                own = np.concatenate([[0], np.cumsum(ranks[at] == rank)])
+                count = own[starts[1:]] - own[starts[:-1]]
+                held = count > 0
+                n, total = int((ranks == rank).sum()), int(dl[ranks == rank].sum())
+                yield pa.record_batch([pa.array([None, *terms[held].tolist()], pa.int64()), pa.array([rank] * (1 + int(held.sum())), pa.int32()), pa.array([n, *count[held].tolist()], pa.int64()), pa.array([total] + [0] * int(held.sum()), pa.int64())], names=["term", "rank", "c", "length"])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted terms of a partition's rankings, sorted by ranking, as one row."""
+    rows = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+    if rows is not None:
+        yield pa.record_batch([pa.array([rows.column(c).to_numpy().tobytes()], pa.binary()) for c in ("form", "caller", "mean_dl", "term", "idf")], names=["form", "caller", "mean_dl", "term", "idf"])
+
+
+def _best(k: int):
+    """The ``k`` best rows of a block for each ranking; ties go by the rows' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield one(batch, row)
+
+    def one(batch: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        ranks, dl, terms, starts, at, tf = _unpacked(batch, row, tuple(_KINDS))
+        form, caller, mean, term, idf = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("form", np.int64), ("caller", np.int32), ("mean_dl", np.float64), ("term", np.int64), ("idf", np.float64)))
+        at = at.astype(np.intp)
+        place = np.searchsorted(terms, term)
+        ok = place < len(terms)
+        ok[ok] = terms[place[ok]] == term[ok]
+        form, caller, mean, place, idf = form[ok], caller[ok], mean[ok], place[ok], idf[ok]
+        low, high = starts[place].tolist(), starts[place + 1].tolist()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(form)) + 1, [len(form)]]) if len(form) else np.zeros(1, np.int64)
+        width = -(-len(ranks) // GROUP) * GROUP
+        groups, step = width // GROUP, max(1, SCORES // max(1, width))
+        score = np.zeros((step, width))
+        weights: dict[int, np.ndarray] = {}
+        which, places, values = [], [], []
+        by, factor = cuts.tolist(), idf.tolist()
+        for lo in range(0, len(by) - 1, step):
+            own = by[lo : lo + step + 1]
+            part = score[: len(own) - 1]
+            part.fill(0.0)
+            for line, a, b in zip(part, own[:-1], own[1:]):
+                c = int(caller[a])
+                if c not in weights:
+                    weights[c] = np.where(ranks[at] <= c, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[at] / mean[a])), 0.0)
+                w = weights[c]
+                for i in range(a, b):
+                    line[at[low[i] : high[i]]] += factor[i] * w[low[i] : high[i]]
+            # At least k rows reach the k-th of the groups' best scores; rows that round to the same stay in.
+            least = np.zeros(len(part)) if groups < k else np.partition(part.reshape(-1, groups, GROUP).max(2), groups - k, axis=1)[:, groups - k] - 2e-6
+            f, near = np.nonzero(part >= np.where(least > 0, least, 5e-324)[:, None])
+            said = np.floor(part[f, near] * 1e6 + 0.5) / 1e6
+            top = np.lexsort((near, -said, f))
+            f = f[top]
+            kept = np.arange(len(f)) - np.searchsorted(f, f) < k
+            which.append(form[np.array(own[:-1], np.int64)][f[kept]])
+            places.append(near[top][kept])
+            values.append(said[top][kept])
+        which, places, values = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((which, np.int64), (places, np.int64), (values, np.float64)))
+        take = pa.array(places)
+        names = [batch.column(c).slice(row, 1).flatten().take(take) for c in ("ids", "sources", "ns")]
+        return pa.record_batch([pa.array(which), *names, pa.array(values)], names=["form", "id", "source", "n", "score"])
+
+    return run
+
+
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(qid, id, score, position)``: the ``k`` best visible rows of each query, those without a common term last.
 
+    The ranking is that of ``keyword_ranking``, but no pair of query and row is ever shuffled. Rows are packed once into
+    blocks of postings (terms by 64-bit hash); queries of one tier with the same terms have one ranking; each pair of a
+    block of rows and a block of rankings is scored in one task, of which only the best ``k`` rows of a ranking leave.
+
     Rows without a common term score 0 and stand in corpus order, so a query of a known tier gets ``k`` rows if it may see
     as many. Only the first ``2 k`` rows of the corpus order are looked at for them, tier by tier: at most ``k`` of
     these can be hits already.
     """
-    hits = keyword_ranking(rows, queries, k).select("qid", "id", "score", "position")
-    asked = queries.select("qid", tier_rank(F.col("tier")).alias("caller")).where("caller IS NOT NULL").distinct()
-    ranked = rows.select("id", "source", "n", tier_rank(F.col("tier")).alias("rank")).where("rank IS NOT NULL")
+    terms = F.array_sort(F.array_distinct(_hashes(F.col("question"))))
+    asked = cut(queries.select("qid", tier_rank(F.col("tier")).alias("caller"), terms.alias("terms")).where("caller IS NOT NULL").distinct())
+    forms = cut(asked.select("caller", "terms").distinct().select(F.monotonically_increasing_id().alias("form"), "caller", "terms"))
+    ranked = rows.select("id", "source", "n", tier_rank(F.col("tier")).alias("rank"), _hashes(F.col("text")).alias("terms")).where("rank IS NOT NULL")
+    packed = cut(ranked.mapInArrow(_packed(k), _PACKED))
+    counts = packed.select("ranks", "dl", "terms", "starts", "at").mapInArrow(_counted, "term long, rank int, c long, length long")
+    callers = F.explode(F.sequence(F.col("rank"), F.lit(len(TIERS) - 1)))
+    stats = counts.where("term IS NULL").select("c", "length", callers.alias("caller")).groupBy("caller").agg(F.sum("c").alias("rows_n"), (F.sum("length") / F.sum("c")).alias("mean_dl"))
+    df = counts.where("term IS NOT NULL").groupBy("term", "rank").agg(F.sum("c").alias("c"))
+    wanted = forms.select("form", "caller", F.explode("terms").alias("term"))
+    seen = wanted.join(df, "term").where("rank <= caller").groupBy("form", "caller", "term").agg(F.sum("c").alias("df")).join(F.broadcast(stats), "caller")  # stats: three rows
+    idf = F.log(1 + (F.col("rows_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    blocks = max(1, -(-forms.count() // FORM_BLOCK))
+    weighted = seen.select("form", "caller", "mean_dl", "term", idf.alias("idf")).repartition(blocks, "form").sortWithinPartitions("form", "term")
+    together = cut(weighted.mapInArrow(_together, "form binary, caller binary, mean_dl binary, term binary, idf binary"))
+    pairs = packed.drop("heads").hint("shuffle_replicate_nl").crossJoin(together)
+    order = Window.partitionBy("form").orderBy(F.desc("score"), "source", "n", "id")
+    best = pairs.mapInArrow(_best(k), "form long, id string, source string, n int, score double").withColumn("position", F.row_number().over(order))
+    hits = cut(best.where(F.col("position") <= k).select("form", "id", "score", "position"))
+    heads = packed.select(F.explode("heads").alias("h")).select("h.*")
     first = None
     for caller in range(len(TIERS)):
-        part = ranked.where(F.col("rank") <= caller).orderBy("source", "n", "id").limit(2 * k).select(F.lit(caller).alias("caller"), "id", "source", "n")
+        part = heads.where(F.col("rank") <= caller).orderBy("source", "n", "id").limit(2 * k).select(F.lit(caller).alias("caller"), "id", "source", "n")
         first = part if first is None else first.unionAll(part)
-    rest = asked.join(F.broadcast(first), "caller").join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
-    order = Window.partitionBy("qid").orderBy("source", "n", "id")
-    rest = rest.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    found = hits.groupBy("qid").agg(F.count("*").cast("int").alias("found"))
-    filled = rest.join(found, "qid", "left").select("qid", "id", F.lit(0.0).alias("score"), (F.coalesce("found", F.lit(0)) + F.col("at")).cast("int").alias("position"))
-    return hits.unionByName(filled).where(F.col("position") <= k)
+    found = hits.groupBy("form").agg(F.count("*").cast("int").alias("found"))
+    short = forms.select("form", "caller").join(found, "form", "left").withColumn("found", F.coalesce("found", F.lit(0))).where(F.col("found") < k)
+    rest = short.join(F.broadcast(first), "caller").join(hits.select("form", "id"), ["form", "id"], "left_anti")
+    rest = rest.withColumn("at", F.row_number().over(Window.partitionBy("form").orderBy("source", "n", "id"))).where(F.col("found") + F.col("at") <= k)
+    filled = rest.select("form", "id", F.lit(0.0).alias("score"), (F.col("found") + F.col("at")).cast("int").alias("position"))
+    numbered = asked.join(forms, ["caller", "terms"]).select("qid", "form")
+    return numbered.join(hits.unionByName(filled), "form").select("qid", "id", "score", "position")
 
 
 def _block_top(k: int):

@@ -11,7 +11,7 @@ from ..functions.tiers import TIERS, default_tier, tier_rank, tier_table, visibl
 from ..operators import answering, conversation, evaluate, guardrails, indexing, ingest, scanner
 from ..operators.answering import prompt_shingles
 from ..operators.retrieve import corpus, fused_top, keyword_ranking, keyword_scores, search, vector_ranking
-from ..session import table
+from ..session import cut, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -520,10 +520,11 @@ def message_replies(spark: SparkSession, d: str) -> DataFrame:
     log = conversation.turns(table(spark, d, "turns")).where("turn_id IS NOT NULL").dropDuplicates(["turn_id"])
     # Equal questions of askers of one tier have one answer: they are answered once.
     def answer(queries: DataFrame) -> DataFrame:
-        keyed = queries.withColumn("form", F.concat_ws("\u0000", "tier", F.coalesce("question", F.lit(""))))
-        once = keyed.groupBy(F.col("form").alias("qid")).agg(F.first("question").alias("question"), F.first("tier").alias("tier"))
-        said = answering.ask(rows, once, method="keyword").select(F.col("qid").alias("form"), "text", "citations", "refused")
-        return keyed.select("qid", "form").join(said, "form")
+        keyed = queries.withColumn("question", F.coalesce("question", F.lit("")))
+        once = cut(keyed.select("tier", "question").distinct().select(F.monotonically_increasing_id().cast("string").alias("qid"), "question", "tier"))
+        said = answering.ask(rows, once, method="keyword").select("qid", "text", "citations", "refused")
+        form = once.select(F.col("qid").alias("form"), "question", "tier")
+        return keyed.join(form, ["tier", "question"]).select("qid", "form").join(said.withColumnRenamed("qid", "form"), "form")
 
     return conversation.handled(log, conversation.members(table(spark, d, "members")), answer).select("turn_id", "user_id", "route", "reply")
 

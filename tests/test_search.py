@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sestante.functions import text as T
 from sestante.functions.tiers import caller_rank, visible
-from sestante.operators.retrieve import corpus, fuse, fused_top, keyword_ranking, vector_ranking
+from sestante.operators import retrieve
+from sestante.operators.retrieve import corpus, fuse, fused_top, keyword_ranking, keyword_search, vector_ranking
 
 CHUNKS = [
     ("a.md#1", "La lavanderia apre alle 7:30 e chiude alle 23:00.", "a.md", "public", "it", None),
@@ -132,3 +133,39 @@ def test_rescue_from_any_depth(spark):
     got = fused_top(df, df.where("vec_id % 50 = 0"), spark.createDataFrame(hits, "qid long, id long, score double, position int")).collect()
     for q in near:
         assert [r.id for r in sorted(got, key=lambda r: r.position) if r.qid == q] == plain_fuse([(i, 0.0) for i in near[q]], second[q])[:5]
+
+
+@pytest.mark.parametrize("blocks", [(32_768, 64), (3, 2)])
+def test_keyword_search_by_blocks(spark, monkeypatch, blocks):
+    """The first rows of the whole ranking, ties and rows without a common term in corpus order; no pair is shuffled."""
+    monkeypatch.setattr(retrieve, "POSTING_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieve, "GROUP", blocks[1])
+    monkeypatch.setattr(retrieve, "FORM_BLOCK", 2)
+    words = ["luce", "porta", "sala", "cane", "vento"]
+    more = [(f"{'xyz'[i % 3]}.md#{i}", " ".join(words[j] for j in range(5) if (i * 7 + j * 3) % 4 < 2), f"{'xyz'[i % 3]}.md" if i % 11 else None, ["public", "resident", "staff"][i % 3], "it", None) for i in range(60)]
+    rows = corpus(spark.createDataFrame(CHUNKS + more, SCHEMA).repartition(3))
+    texts = ["luce e porta?", "Porta luce!", "cane vento sala", "lavanderia", "niente", None, "lavatrici porta porta"]
+    asked = spark.createDataFrame([(f"{t}{i}", q, t) for t in ("public", "resident", "staff", "guest") for i, q in enumerate(texts)], "qid string, question string, tier string")
+    whole, seen = {}, {t: [c for c in rows.collect() if (r := {"public": 0, "resident": 1, "staff": 2}.get(c.tier)) is not None and r <= n] for n, t in enumerate(("public", "resident", "staff"))}
+    for r in keyword_ranking(rows, asked).orderBy("qid", "position").collect():
+        whole.setdefault(r.qid, []).append((r.id, r.score))
+    place = lambda c: (c.source is not None, c.source or "", c.n, c.id)
+    for k in (1, 4, 40):
+        got = {}
+        for r in keyword_search(rows, asked, k).orderBy("qid", "position").collect():
+            got.setdefault(r.qid, []).append((r.id, r.score))
+            assert r.position == len(got[r.qid])
+        for q in asked.collect():
+            hits = whole.get(q.qid, [])
+            rest = [(c.id, 0.0) for c in sorted(seen.get(q.tier, []), key=place) if c.id not in dict(hits)]
+            want = (hits + rest)[:k]
+            assert [i for i, _ in got.get(q.qid, [])] == [i for i, _ in want]
+            assert [s for _, s in got.get(q.qid, [])] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_message_replies_plan(spark):
+    """Search and answers stand in the plan once: before, it had 182 exchanges and outgrew the driver."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["message_replies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60
