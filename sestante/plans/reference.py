@@ -507,7 +507,8 @@ def redteam_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(table(spark, d, "chunks"))
     attacks = q.select("id", F.lit("question").alias("category"), "tier", F.col("question").alias("attack"))
     asked = attacks.select(F.col("id").alias("qid"), F.col("attack").alias("question"), "tier")
-    a = answering.ask(rows, asked, method="keyword").withColumn("error", F.lit(None).cast("string"))
+    # Read four times below: answered once.
+    a = cut(answering.ask(rows, asked, method="keyword").select("qid", "text", "refused", "fired", "retrieved")).withColumn("error", F.lit(None).cast("string"))
     staff = search(rows, asked.withColumn("tier", F.lit(TIERS[-1])), "keyword")
     found = evaluate.redteam(attacks, a, a.select("qid", F.explode("retrieved").alias("id")), staff, rows)
     return found.select("qid", "category", "tier", "refused", F.array_join("leaked", ",").alias("leaked"), F.array_join("repeated", ",").alias("repeated"), F.to_json("guardrails_fired").alias("fired"), "review")

@@ -169,3 +169,11 @@ def test_message_replies_plan(spark):
 
     plan = E.queries()["message_replies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") < 60
+
+
+def test_redteam_rows_plan(spark):
+    """The answers are read several times, but made once, before the plan that is returned."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["redteam_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60
